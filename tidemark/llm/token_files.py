@@ -136,7 +136,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, pattern: str
     ``part`` hold the ids in ascending order, rows without an id last, rows of
     the same id in the order of their texts. Null text is empty; each document
     ends with ``end_id`` if there is one. Files appear whole or not at all, and
-    a task that runs again writes the same ones. An empty table has no files.
+    each attempt of a task writes its own: read those that a kept manifest names.
+    An empty table has no files.
     """
     spark = docs.sparkSession
     by = F.col("id").asc_nulls_last()
@@ -146,8 +147,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, pattern: str
 
     def run(batches):
         writer = None
-        part = TaskContext.get().partitionId()
-        path = f"{folder}/part-{part:06d}.ids.zst"
+        task = TaskContext.get()
+        part = task.partitionId()
+        path = f"{folder}/part-{part:06d}-{task.taskAttemptId()}.ids.zst"
         end = np.zeros(0, np.int32) if end_id is None else np.array([end_id], np.int32)
         batches = (b for b in batches if b.num_rows)
         first = next(batches, None)
