@@ -8,6 +8,7 @@ import importlib
 ENTRIES = (
     ("op1_line_dedup", "line_dedup", "op1", "OP1_SQL"),
     ("op2_language_id", "language_id", "op2", None),
+    ("op3_near_dedup", "near_dedup", "op3", None),
     ("op4_source_mixing", "mixing", "op4", "OP4_SQL"),
     ("op6_warc", "warc", "op6", "OP6_SQL"),
     ("op8_byte_bpe", "bpe", "op8", None),
