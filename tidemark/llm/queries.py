@@ -13,6 +13,7 @@ ENTRIES = (
     ("op6_warc", "warc", "op6", "OP6_SQL"),
     ("op8_byte_bpe", "bpe", "op8", None),
     ("op9_token_files", "token_files", "op9", None),
+    ("op10_hnsw", "hnsw", "op10", "OP10_SQL"),
 )
 
 
