@@ -11,6 +11,7 @@ ENTRIES = (
     ("op3_near_dedup", "near_dedup", "op3", None),
     ("op4_source_mixing", "mixing", "op4", "OP4_SQL"),
     ("op6_warc", "warc", "op6", "OP6_SQL"),
+    ("op7_embedding_dedup", "embedding_dedup", "op7", "OP7_SQL"),
     ("op8_byte_bpe", "bpe", "op8", None),
     ("op9_token_files", "token_files", "op9", None),
     ("op10_hnsw", "hnsw", "op10", "OP10_SQL"),
