@@ -10,6 +10,7 @@ ENTRIES = (
     ("op2_language_id", "language_id", "op2", None),
     ("op3_near_dedup", "near_dedup", "op3", None),
     ("op4_source_mixing", "mixing", "op4", "OP4_SQL"),
+    ("op5_toxicity", "toxicity", "op5", None),
     ("op6_warc", "warc", "op6", "OP6_SQL"),
     ("op7_embedding_dedup", "embedding_dedup", "op7", "OP7_SQL"),
     ("op8_byte_bpe", "bpe", "op8", None),
