@@ -113,19 +113,47 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache = ChunkCache(compile_pattern(pattern), self._chunks)
+        #: Bytes of each token; the vocabulary writes a byte as one character.
+        self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.width[i] = len(token)
 
-    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = []
-        for i in range(0, len(chunks), 4096):
-            ids += [x.ids for x in self.tokenizer.encode_batch_fast(chunks[i : i + 4096], add_special_tokens=False)]
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter((t for x in ids for t in x), np.int32, sum(map(len, ids))), np.fromiter(map(len, ids), np.int64, len(ids))
 
+    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Many chunks go to the library as one text: one that starts with a space and has no other white space at an end stands for itself there too."""
+        plain = [len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace() for x in chunks]
+        order = np.argsort(~np.array(plain, bool), kind="stable")
+        n, flat, count = sum(plain), [], []
+        for i in [*range(0, n, JOINED), *range(n, len(chunks), 4096)]:
+            part = [chunks[k] for k in order[i : min(i + JOINED, n) if i < n else i + 4096].tolist()]
+            if i < n:
+                ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int32)
+                ends, at = np.cumsum([len(x.encode()) for x in part]), np.cumsum(self.width[ids])
+                last = np.searchsorted(at, ends)
+                if len(at) and at[-1] == ends[-1] and (at[last] == ends).all():
+                    flat.append(ids)
+                    count.append(np.diff(last, prepend=-1))
+                    continue
+            ids, own = self._each(part)
+            flat.append(ids)
+            count.append(own)
+        flat, count = np.concatenate(flat), np.concatenate(count)
+        back = np.argsort(order)  # to the order of the chunks
+        start, own = (np.cumsum(count) - count)[back], count[back]
+        return flat[np.arange(len(flat)) + np.repeat(start - np.cumsum(own) + own, own)], own
+
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str, pattern: str) -> LibraryEncoder:
     return LibraryEncoder(path, pattern)
 
 
+#: Chunks that the library encodes as one text.
+JOINED = 200
+
 MANIFEST = "part int, path string, docs long, tokens long"
 
 
