@@ -124,20 +124,24 @@ def _lines(batches):
         yield pa.RecordBatch.from_arrays([pa.array(hs, pa.binary()), pa.array(ks, pa.int64()), pa.array(bs, pa.int32())], schema=schema)
 
 
-def _kept(batches):
-    """The last two columns (text, hashes to drop) give way to n_lines, n_dropped, kept text."""
-    for batch in batches:
-        n = batch.num_columns - 2
-        lines, dropped, kept = [], [], []
-        for text, drop in zip(as_bytes(batch.column(n)), batch.column(n + 1).to_pylist(), strict=True):
-            own = (text or b"").split(b"\n")
-            lines.append(len(own))
-            if drop:
-                gone = set(drop)
-                own = [x for x in own if line_hash(line_key(x)) not in gone]
-            dropped.append(lines[-1] - len(own))
-            kept.append(b"\n".join(own))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [*batch.schema.names[:n], "n_lines", "n_dropped", "kept_text"])
+def _kept(names):
+    """The last two columns (text, hashes to drop) give way to the number of lines, that of dropped ones, and the kept text."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_columns - 2
+            lines, dropped, kept = [], [], []
+            for text, drop in zip(as_bytes(batch.column(n)), batch.column(n + 1).to_pylist(), strict=True):
+                own = (text or b"").split(b"\n")
+                lines.append(len(own))
+                if drop:
+                    gone = set(drop)
+                    own = [x for x in own if line_hash(line_key(x)) not in gone]
+                dropped.append(lines[-1] - len(own))
+                kept.append(b"\n".join(own))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [*batch.schema.names[:n], *names])
+
+    return run
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -154,7 +158,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     space = Workspace(spark, "lines")
     k, b, drop = (fresh_name(docs, x) for x in ("_k", "_b", "_drop"))
-    cuts = sorted({int(x) for x in docs.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", [i / batches for i in range(1, batches)], 0.01)})
+    parts = [F.lit(i / batches) for i in range(1, batches)]
+    found = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), F.array(*parts), F.lit(1000))).first()[0] if parts else None
+    cuts = sorted(set(found or ()))
     number = F.lit(0)
     for cut in cuts:
         number = number + (ordered_id(id_col) > cut).cast("int")
@@ -171,8 +177,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = [c for c in docs.columns if c != text_col]
     names = [fresh_name(docs, x) for x in ("n_lines", "n_dropped", "kept_text")]
     both = docs.withColumn(k, ordered_id(id_col)).join(gone, k, "left").select(*rest, text_col, drop)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col] + ["n_lines long", "n_dropped long", "kept_text string"])
-    return both.mapInArrow(_kept, schema).toDF(*rest, *names)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col] + [f"`{names[0]}` long", f"`{names[1]}` long", f"`{names[2]}` string"])
+    return both.mapInArrow(_kept(names), schema)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
