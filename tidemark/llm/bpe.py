@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh_name
 from .pretokens import ChunkCache, compile_pattern
 
 
@@ -48,6 +49,10 @@ class Merges:
         order = np.argsort(keys)
         self.keys = keys[order]
         self.merged = np.fromiter(pairs.values(), np.int32, len(pairs))[order]
+        #: Whether a token takes part in a merge of a lower rank than the one that makes it.
+        self.falls = np.zeros(self.wide, bool)
+        for side in (self.keys // self.wide, self.keys % self.wide):
+            self.falls[side[self.merged < side]] = True
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank that each pair merges to, or -1."""
@@ -72,9 +77,9 @@ class Merges:
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         n = int(size.sum())
         tok = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
-        piece = np.repeat(np.arange(len(pieces)), size)
-        nxt = np.arange(1, n + 1)
-        prv = np.arange(-1, n - 1)
+        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
+        nxt = np.arange(1, n + 1, dtype=np.int32)
+        prv = np.arange(-1, n - 1, dtype=np.int32)
         ends = np.cumsum(size)[size > 0] - 1
         nxt[ends] = -1
         prv[(ends + 1)[:-1]] = -1
@@ -82,7 +87,7 @@ class Merges:
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
 
-        def enter(at: np.ndarray) -> np.ndarray:
+        def enter(at: np.ndarray) -> None:
             """Look up the pairs at these positions and put them in the index."""
             after = nxt[at]
             inner = after >= 0
@@ -93,7 +98,7 @@ class Merges:
             known = found >= 0
             at, found = at[known], found[known]
             if not len(at):
-                return found
+                return
             order = np.argsort(found, kind="stable")
             at, sorted_ranks = at[order], found[order]
             cuts = np.flatnonzero(np.diff(sorted_ranks)) + 1
@@ -104,10 +109,9 @@ class Merges:
                 else:
                     index[r] = [at[i:j]]
                     heapq.heappush(heap, r)
-            return found
 
         if n:
-            enter(np.arange(n))
+            enter(np.arange(n, dtype=np.int32))
         redo: set[int] = set()
         while heap:
             r = heapq.heappop(heap)
@@ -120,6 +124,14 @@ class Merges:
             if len(at) > 1 and (rank[after] == r).any():  # overlapping: the leftmost goes first
                 at, after = self._leftmost(at, after)
             beyond = nxt[after]
+            many = len(at) > 1 and bool(self.falls[r])
+            if many:  # what the leftmost of two merges side by side would see of the other one
+                second = np.searchsorted(at, beyond)
+                second[second == len(at)] = 0
+                beside = np.flatnonzero(at[second] == beyond)
+                if len(beside):
+                    seen = self.look_up(np.full(len(beside), r), tok[beyond[beside]])
+                    redo.update(piece[at[beside[(seen >= 0) & (seen < r)]]].tolist())
             tok[at] = r
             nxt[at] = beyond
             rank[after] = -1
@@ -128,17 +140,19 @@ class Merges:
             before = prv[at]
             before = before[before >= 0]
             touched = distinct(np.concatenate([at, before])) if len(before) else at
-            found = enter(touched)
-            if len(at) > 1 and len(found) and int(found.min()) < r:
-                # A merge of this rank made room for a lower one, which in its piece comes before the other merges of this rank.
+            enter(touched)
+            if many:
+                # In a piece, a merge of this rank may make room for a lower one, which comes before the next of this rank.
                 lower = touched[(rank[touched] >= 0) & (rank[touched] < r)]
-                own, times = np.unique(piece[at], return_counts=True)
-                redo.update(np.intersect1d(own[times > 1], piece[lower]).tolist())
+                if len(lower):
+                    own, times = np.unique(piece[at], return_counts=True)
+                    redo.update(np.intersect1d(own[times > 1], piece[lower]).tolist())
         alive = np.ones(n, bool)
         dead = self._dead(nxt, prv, n, ends)
         alive[dead] = False
         count = np.bincount(piece[alive], minlength=len(pieces)).astype(np.int64)
         flat = tok[alive]
+        self.redone = len(redo)
         if redo:
             parts = np.split(flat, np.cumsum(count)[:-1])
             for k in redo:
@@ -214,7 +228,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 #: Texts are taken in batches of about so many characters, to bound a worker's memory.
-BATCH_CHARS = 24_000_000
+BATCH_CHARS = 12_000_000
 
 
 def text_batches(batch: pa.RecordBatch, column: int):
@@ -232,25 +246,27 @@ def encode_table(docs: DataFrame, path: str, pattern: str, text_col: str = "text
     """``docs`` with an array of token ids in place of its text; null text has none.
 
     Works batch by batch without a shuffle; every row gives one row, whatever
-    its other columns hold.
+    its other columns hold. If ``docs`` has a column of the name, underscores are added.
     """
-    rest = [f for f in docs.schema if f.name != text_col]
+    rest, ids_name = [f for f in docs.schema if f.name != text_col], fresh_name(docs, ids_name)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"`{ids_name}` array<int>"])
 
     def run(batches):
+        c = codec(path, pattern)
         for batch in batches:
             for part, texts in text_batches(batch, len(rest)):
-                ids = list(codec(path, pattern).encode(texts))
+                ids = list(c.encode(texts))
                 flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], pa.ListArray.from_arrays(offsets, flat)], [*[f.name for f in rest], ids_name])
+        c.cache.clear()  # what other tasks of this worker do needs the memory
 
     return docs.select(*[f.name for f in rest], text_col).mapInArrow(run, schema)
 
 
 def decode_table(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes of its ids in place of them; null ids give null, an id that the vocabulary lacks fails."""
-    rest = [f for f in encoded.schema if f.name != ids_col]
+    rest, name = [f for f in encoded.schema if f.name != ids_col], fresh_name(encoded, name)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"`{name}` binary"])
 
     def run(batches):
@@ -277,6 +293,7 @@ def digest_table(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                     left.append(hashlib.sha256(" ".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
                     right.append(hashlib.sha256(c.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(left), pa.array(right)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.cache.clear()  # what other tasks of this worker do needs the memory
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
