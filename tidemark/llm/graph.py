@@ -22,7 +22,7 @@ def components(links: DataFrame, space: Workspace, name: str = "components") ->
     """
     edges = space.keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     before, k = None, 0
-    while True:
+    while not edges.isEmpty():
         k += 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = space.keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-{k}-large")

@@ -5,8 +5,11 @@ space, in lower case). Each shingle is labelled with its occurrence number, so
 repeats count. A sketch samples the few labelled shingles that come first in a
 random order and keeps them in the order of the text; texts share it in
 proportion to how much of one stands in the other in the same order. Texts that
-share a sketch are candidates, each with the smallest id that has the sketch too,
-and with the smallest that has this and the next sketch too.
+share a sketch, or a sketch and the next one, form a bucket, and each is compared
+with the bucket's leader: at first the text whose sketches most others share, so
+that edited copies meet their original, then others drawn by hash. Pairs that
+hang together by now aren't compared again. So a bucket costs as much as it has
+members, not pairs.
 
 The similarity of two texts is c / (n + m - c) for n and m shingles of which c
 can be aligned in order (their longest common subsequence); for texts that keep
@@ -30,6 +33,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 12
 SAMPLED = 3
+#: How often each bucket gets a leader that its members are compared with.
+ROUNDS = 3
 _SLICE = 2_000_000
 
 
@@ -219,22 +224,37 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = space.keep(sketched.groupBy("whole").agg(F.min("k").alias("rep")), "whole")
     members = space.keep(sketched.join(copies, "whole").select("k", "rep", F.when(F.col("k") == F.col("rep"), F.col("sketch")).alias("sketch")), "members")
 
-    # A bucket is a sketch by its number, or two sketches in a row.
+    # A bucket is a sketch by its number, or two sketches in a row. From here on only documents that share one are looked at.
     number = F.sequence(F.lit(0), F.lit(SKETCHES - 1))
     one = F.transform(number, lambda j: F.xxhash64(j, F.get("sketch", j)))
     two = F.transform(number, lambda j: F.xxhash64(j, F.get("sketch", j), F.get("sketch", F.pmod(j + 1, F.lit(SKETCHES)))))
-    rows = members.where(F.col("sketch").isNotNull()).select("k", F.explode(F.concat(one, two)).alias("bucket"))
-    rows = space.keep(rows, "buckets")
-    first = rows.groupBy("bucket").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a < z").select("bucket", "a")
-    first = space.keep(first, "first")
-    pairs = space.keep(rows.join(first, "bucket").where("k <> a").select("a", F.col("k").alias("b")).distinct(), "pairs")
-    space.drop("buckets", "first")
-    left = pairs.join(texts.select(F.col("k").alias("a"), F.col("text").alias("left")), "a")
-    both = left.join(texts.select(F.col("k").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
-    links = space.keep(both.mapInArrow(_verify(similarity), "a long, b long"), "links")
+    rows = space.keep(members.where(F.col("sketch").isNotNull()).select("k", F.explode(F.concat(one, two)).alias("bucket")).distinct(), "buckets")
+    sizes = space.keep(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    met = space.keep(rows.join(sizes, "bucket"), "met")
+    score = space.keep(met.groupBy("k").agg(F.sum("n").alias("score")), "scores")
+    met = space.keep(met.select("k", "bucket").join(score, "k"), "scored")
+    space.drop("buckets", "sizes", "met")
+    near = space.keep(texts.join(score, "k", "left_semi"), "texts")
+
     # Rows of one id with different texts hold together.
-    again = members.groupBy("k").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
-    root = components(links.unionByName(again), space)
+    links = members.groupBy("k").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
+    links = space.keep(links, "links-0")
+    root = components(links, space, "components-0")
+    done = None
+    for r in range(ROUNDS):
+        # The document whose sketches most others share leads first; then any, drawn anew for each bucket.
+        order = F.struct("score", -F.col("k"), "k") if r == 0 else F.struct(F.xxhash64("k", "bucket", F.lit(r)), "k")
+        lead = space.keep(met.groupBy("bucket").agg(F.max(order).getField("k").alias("a")), f"lead-{r}")
+        pairs = met.join(lead, "bucket").where("k <> a").select(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b")).distinct()
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = pairs.join(root.toDF("a", "ra"), "a", "left").join(root.toDF("b", "rb"), "b", "left")
+        pairs = space.keep(pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), f"pairs-{r}")
+        left = pairs.join(near.select(F.col("k").alias("a"), F.col("text").alias("left")), "a")
+        both = left.join(near.select(F.col("k").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
+        found = space.keep(both.mapInArrow(_verify(similarity), "a long, b long"), f"links-{r + 1}")
+        done = pairs if done is None else done.unionByName(pairs)
+        root = components(root.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(found), space, f"components-{r + 1}")
     out = members.select("k", "rep").join(root, F.col("rep") == F.col("id"), "left").select("k", F.coalesce("root", "rep").alias("class"))
     return out.groupBy("k").agg(F.min("class").alias("class"))
 
