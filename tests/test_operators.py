@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from tidemark import Scan, TidemarkError, Tier, scan
+from tidemark import Scan, TidemarkError, Tier, aggregates, scan
 from tidemark.operators import engines, series, tiers
 from tidemark.operators.engines import Engine
 from tidemark.operators.predicates import matching
@@ -213,3 +213,14 @@ def test_windows():
     assert tiers.window(t, 0, 0, 9_000_000, 5_000_000) == (0, 5_000_000)
     assert tiers.window(t, 1, 0, 9_000_000, 5_000_000) == (4_000_000, 4_900_000)
     assert tiers.window(t, 1, 4_950_000, 9_000_000, 5_000_000) is None
+
+
+def test_accumulators():
+    a, b = aggregates.Accumulator(), aggregates.Accumulator()
+    for ts, v in ((5, 10.0), (9, 20.0), (9, float("nan")), (3, True)):
+        a.add(v, ts)
+    for ts, v in ((1, 1.0), (40, 5.0), (2, None)):
+        b.add(v, ts)
+    a.merge(b)
+    assert [a.value(f) for f in aggregates.ALL] == [1.0, 20.0, 36.0, 9.0, 4, 5.0, 1.0]
+    assert aggregates.apply("avg", []) is None and aggregates.apply("count", ["x"]) == 0 and aggregates.apply("last", [3, 4]) == 4

@@ -189,6 +189,26 @@ def test_definition_errors(make, code):
     assert e.value.code == code
 
 
+def test_looking_into_a_table(store):
+    t = store.create(define_log("m", METRIC, retention="1s:1d"))
+    t.append([{"ts": NOW - k, "host": f"h{k % 3}", "value": k} for k in range(9)])
+    g = t.generations()
+    assert (len(g), g[0].rows, g[0].min_ts, g[0].max_ts, g[0].path.startswith(t.tier_name())) == (1, 9, NOW - 8, NOW, True)
+    assert t.generation(g[0].path).count() == 9 and sorted(t.distinct("host")) == ["h0", "h1", "h2"] and t.distinct("host", 2) is None
+    t.update_metadata({"owner": "ops"})
+    assert store.open("m").metadata() == {"owner": "ops"} and store.stats() == {"tables": 1, "rows": 9, "bytes": g[0].bytes}
+    for call, code in ((lambda: t.tier(1), "TBL_JOURNAL_INDEX"), (lambda: t.generation("x"), "JRN_SEG_UNKNOWN"), (lambda: t.tail(-1), "TBL_TAIL_COUNT"), (lambda: t.aggregate(0, 1, []), "TBL_AGG_EXPRS"), (lambda: t.rollup(float("nan")), "TBL_ROLLUP_NOW")):
+        with pytest.raises(TidemarkError) as e:
+            call()
+        assert e.value.code == code
+    t.flush()
+    t.close()
+    assert not t.is_open
+    with pytest.raises(TidemarkError) as e:
+        t.tail(1)
+    assert e.value.code == "TBL_NOT_OPEN"
+
+
 def test_streams_append_once(store, spark, tmp_path):
     source = str(tmp_path / "source")
     spark.createDataFrame([(k * 1000, "a", float(k)) for k in range(20)], "ts long, host string, value double").coalesce(1).write.parquet(source)

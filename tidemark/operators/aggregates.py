@@ -10,7 +10,9 @@ Partial results are stored columns (``<field>_<fn>``, and ``<field>_last_ts``,
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,6 +82,51 @@ def stored_columns(field: str, fns: Sequence[str]) -> list[str]:
     return out
 
 
+@dataclass
+class Accumulator:
+    """The same aggregates outside of Spark, one value at a time; two of them merge."""
+
+    count: int = 0
+    sum: float = 0.0
+    min: float | None = None
+    max: float | None = None
+    last: tuple | None = None
+    first: tuple | None = None
+
+    def add(self, value, ts: int = 0) -> None:
+        if isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value):
+            return
+        self.merge(Accumulator(1, value, value, value, (ts, value), (ts, value)))
+
+    def merge(self, later: Accumulator) -> None:
+        """Take in what was gathered elsewhere, after this."""
+        if not later.count:
+            return
+        self.count, self.sum = self.count + later.count, self.sum + later.sum
+        self.min = later.min if self.min is None else min(self.min, later.min)
+        self.max = later.max if self.max is None else max(self.max, later.max)
+        self.last = later.last if self.last is None or later.last[0] >= self.last[0] else self.last
+        self.first = later.first if self.first is None or later.first[0] < self.first[0] else self.first
+
+    def value(self, fn: str):
+        require(fn in ALL, "TBL_AGG_EXPR_FN", f"one of {', '.join(ALL)}", fn=fn)
+        if fn == "count":
+            return self.count
+        if not self.count:
+            return None
+        if fn == "avg":
+            return self.sum / self.count
+        return getattr(self, fn)[1] if fn in BY_TIME else getattr(self, fn)
+
+
+def apply(fn: str, values: Iterable):
+    """One aggregate of plain values, in their order."""
+    acc = Accumulator()
+    for i, v in enumerate(values):
+        acc.add(v, i)
+    return acc.value(fn)
+
+
 def level(levels: Iterable[float], code: str) -> list[float]:
     out = list(levels) if not isinstance(levels, (int, float)) else [levels]
     for x in out:

@@ -64,5 +64,8 @@ class Store:
         statement = dialect.parse(text)
         return self.open(statement.table).run(statement)
 
+    def clear_cache(self) -> None:
+        self.spark.catalog.clearCache()
+
     def drop(self, name: str) -> None:
         self.folder.delete(name)

@@ -36,6 +36,7 @@ class Table:
         m = manifest.load(folder, name)
         require(m is not None, "STO_TABLE_NOT_FOUND", "no such table", name=name)
         self.definition = Definition.from_json(m.definition)
+        self._open = True
 
     # What is there
 
@@ -43,6 +44,7 @@ class Table:
         return self._now()
 
     def manifest(self) -> Manifest:
+        require(self._open, "TBL_NOT_OPEN", "the table was closed", name=self.name)
         return manifest.load(self.folder, self.name)
 
     @property
@@ -71,6 +73,37 @@ class Table:
         m = self.manifest()
         return [self._read(m.tiers[i], i) for i in range(self.tier_count())]
 
+    def tier_name(self, i: int = 0) -> str:
+        require(0 <= i < self.tier_count(), "TBL_JOURNAL_INDEX", "no such tier", index=i)
+        return f"{self.name}/r{self.tiers[i].res_ms if self.tiers else 0}"
+
+    def generations(self, tier: int = 0) -> list[Generation]:
+        """The folders that a tier consists of, with their rows, times and bytes."""
+        require(0 <= tier < self.tier_count(), "TBL_JOURNAL_INDEX", "no such tier", index=tier)
+        return self.manifest().tiers[tier]
+
+    def generation(self, path: str) -> DataFrame:
+        """The rows of one folder."""
+        found = [(i, g) for i, own in enumerate(self.manifest().tiers) for g in own if g.path == path]
+        require(bool(found), "JRN_SEG_UNKNOWN", "no such generation", path=path)
+        return self._read([found[0][1]], found[0][0])
+
+    def distinct(self, field: str, limit: int = 64, tier: int = 0) -> list | None:
+        """The distinct values of a field, or None if there are more than ``limit``."""
+        found = [r[0] for r in self.tier(tier).select(field).distinct().limit(limit + 1).collect()]
+        return None if len(found) > limit else found
+
+    def flush(self) -> None:
+        """An append is durable when it returns; nothing to do."""
+
+    def close(self) -> None:
+        """Later changes and reads through this object fail."""
+        self._open = False
+
+    @property
+    def is_open(self) -> bool:
+        return self._open
+
     def rollup_columns(self, field: str) -> list[str]:
         """The columns in which coarse tiers hold a field's parts."""
         fn = self.definition.rolled().get(field)
