@@ -71,12 +71,12 @@ def budgets(leaves: DataFrame, levels: Sequence[Level], budget: Column, epochs:
     """(level names, have) of the leaves to (level names, have, share). ``budget`` may use ``total``, the tokens of all leaves."""
     names = [x.name for x in levels]
     leaves = leaves.withColumn("cap", F.col("have") * epochs)
-    root = leaves.agg(F.coalesce(F.sum("have"), F.lit(0)).alias("total"), F.coalesce(F.sum("cap"), F.lit(0)).alias("all")).select(F.least(budget.cast("long"), F.col("all")).alias("given"))
-    above = None
+    root = leaves.agg(F.coalesce(F.sum("have"), F.lit(0)).alias("total"), F.coalesce(F.sum("cap"), F.lit(0)).alias("all"))
+    given, above = root.select(F.least(budget.cast("long"), F.col("all"))).first()[0], None
     for depth, level in enumerate(levels):
         parent, path = names[:depth], names[: depth + 1]
         nodes = leaves.groupBy(*path).agg(F.sum("cap").alias("cap")).withColumn("w", level.weight()).where("w > 0").withColumn("node", F.col(level.name))
-        nodes = nodes.join(above, parent) if depth else nodes.crossJoin(F.broadcast(root))  # root: one row
+        nodes = nodes.join(above, parent) if depth else nodes.withColumn("given", F.lit(given).cast("long"))
         above = fill(nodes, parent).select(*path, F.col("share").alias("given"))
     return leaves.join(above, names).select(*names, "have", F.col("given").alias("share"))
 
@@ -119,7 +119,8 @@ def plan(docs: DataFrame, levels: Sequence[Level], budget: Column, seed: str = "
     space, names = Workspace(spark, "mix"), [x.name for x in levels]
     ledger = with_nodes(docs, levels).select(F.col(id_col), *[n for n in names if n != id_col], F.regexp_count(F.col(text_col), F.lit(TOKEN)).cast("long").alias("n_tokens"))
     ledger = space.keep(ledger.where("n_tokens > 0"), "ledger")
-    shares = budgets(ledger.groupBy(*names).agg(F.sum("n_tokens").alias("have")), levels, budget, epochs)
+    leaves = space.keep(ledger.groupBy(*names).agg(F.sum("n_tokens").alias("have")), "leaves")
+    shares = budgets(leaves, levels, budget, epochs)
     whole = _whole_part(F.col("share"), F.col("have")).cast("long")
     shares = shares.withColumn("whole", whole).withColumn("rest", F.col("share") - F.col("whole") * F.col("have")).select(*names, "whole", "rest")
     shares = space.keep(shares, "shares")
