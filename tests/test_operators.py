@@ -141,6 +141,17 @@ def test_percentiles(spark):
         series.percentile(df, 0, 1, [1])
 
 
+@pytest.mark.parametrize("kind", ["random", "ties", "one"])
+def test_percentiles_of_more_numbers_than_a_task_holds(spark, monkeypatch, kind):
+    rng = random.Random(8)
+    v = {"random": [rng.gauss(0, 5) for _ in range(6000)], "ties": [float(rng.choice([1, 1, 1, 2, 7])) for _ in range(6000)], "one": [3.0] * 6000}[kind]
+    df = frame(spark, [(k, "a", x) for k, x in enumerate(v)])
+    want = series.percentile(df, 0, 10_000, [0.001, 0.5, 0.9, 0.999]).first()
+    monkeypatch.setattr(aggregates, "DIRECT", 40)
+    monkeypatch.setattr(aggregates, "_ACCURACY", 60)
+    assert tuple(series.percentile(df, 0, 10_000, [0.001, 0.5, 0.9, 0.999]).first()) == pytest.approx(tuple(want), abs=1e-12)
+
+
 def test_first_and_last(spark):
     df = frame(spark, [(5, "a", 1.0), (5, "a", 2.0), (9, "a", None), (1, "a", 7.0), (1, "a", 8.0)])
     assert series.aggregate_range(df, 0, 10, [("value", "last"), ("value", "first")]).first().asDict() == {"value_last": 2.0, "value_first": 7.0}

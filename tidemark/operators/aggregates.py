@@ -140,7 +140,75 @@ def level_name(x: float) -> str:
     return f"p{int(n) if n == int(n) else n}"
 
 
+#: Up to so many numbers are held in one task for an exact percentile.
+DIRECT = 1_000_000
+_ACCURACY = 10_000
+
+
 def percentiles(df: DataFrame, field: str, levels: Sequence[float]) -> DataFrame:
-    """Exact percentiles, interpolated between neighbours, in one row; nulls over nothing."""
+    """Exact percentiles, interpolated between neighbours, in one row; nulls over nothing.
+
+    Of more than ``DIRECT`` numbers the wanted ranks are closed in on first, see
+    ``at_ranks``, so that no task has to hold them all.
+    """
     x = number(df.schema, field).cast("double")
-    return df.agg(F.percentile(x, F.array(*[F.lit(float(v)) for v in levels])).alias("p")).select(*[F.get("p", F.lit(i)).alias(level_name(v)) for i, v in enumerate(levels)])
+    numbers = df.select(x.alias("x")).where(F.col("x").isNotNull())
+    n = numbers.count()
+    names = [level_name(v) for v in levels]
+    if n <= DIRECT:
+        return numbers.agg(F.percentile("x", F.array(*[F.lit(float(v)) for v in levels])).alias("p")).select(*[F.get("p", F.lit(i)).alias(c) for i, c in enumerate(names)])
+    places = [(n - 1) * v for v in levels]
+    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
+    found = dict(zip(ranks, at_ranks(numbers, ranks, n), strict=True))
+    out = []
+    for p in places:
+        low, high = found[math.floor(p)], found[math.ceil(p)]
+        out.append(low + (high - low) * (p - math.floor(p)))
+    return df.sparkSession.createDataFrame([tuple(out)], ", ".join(f"`{c}` double" for c in names))
+
+
+def at_ranks(numbers: DataFrame, ranks: Sequence[int], n: int) -> list[float]:
+    """The numbers (column x, n rows) at places of their order.
+
+    Each pass takes approximate quantiles around every rank inside the bounds
+    known so far, counts what lies below them, and so narrows the bounds by a
+    factor of thousands; once few numbers are left they are sorted. One pass
+    serves all ranks.
+    """
+    bounds = {r: (-math.inf, math.inf, 0, n) for r in ranks}  # both excluded; how many lie below, and between
+    found: dict[int, float] = {}
+    spread = 2 / _ACCURACY
+    x = F.col("x")
+
+    def inside(r: int) -> Column:
+        low, high, _, _ = bounds[r]
+        return F.when((x > low) & (x < high), x)
+
+    while wide := [r for r in ranks if r not in found and bounds[r][3] > DIRECT]:
+        shares = {r: (r - bounds[r][2]) / (bounds[r][3] - 1) for r in wide}
+        near = [F.percentile_approx(inside(r), F.array(F.lit(max(0.0, shares[r] - spread)), F.lit(min(1.0, shares[r] + spread))), F.lit(_ACCURACY)).alias(f"r{r}") for r in wide]
+        cuts = numbers.agg(*near).first()
+        counted = []
+        for r in wide:
+            a, b = cuts[f"r{r}"]
+            counted += [F.count_if(inside(r) < a), F.count_if(inside(r) <= a), F.count_if(inside(r) < b), F.count_if(inside(r) <= b)]
+        counts, missed = list(numbers.agg(*[c.alias(f"c{i}") for i, c in enumerate(counted)]).first()), False
+        for i, r in enumerate(wide):
+            (a, b), (low, high, below, m) = cuts[f"r{r}"], bounds[r]
+            under_a, upto_a, under_b, upto_b = (below + c for c in counts[4 * i : 4 * i + 4])
+            if under_a <= r < upto_a:
+                found[r] = a
+            elif under_b <= r < upto_b:
+                found[r] = b
+            elif upto_a <= r < under_b:
+                bounds[r] = (a, b, upto_a, under_b - upto_a)
+            else:  # the quantiles lay beside the rank
+                bounds[r] = (low, a, below, under_a - below) if r < under_a else (b, high, upto_b, below + m - upto_b)
+                missed = True
+        if missed:
+            spread *= 4
+    rest = [r for r in ranks if r not in found]
+    if rest:
+        row = numbers.agg(*[F.get(F.sort_array(F.collect_list(inside(r))), F.lit(r - bounds[r][2])).alias(f"r{r}") for r in rest]).first()
+        found |= {r: row[f"r{r}"] for r in rest}
+    return [found[r] for r in ranks]
