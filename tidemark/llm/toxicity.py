@@ -28,7 +28,8 @@ PREFIXES = (4, 5, 6)
 SAMPLE_ROWS = 8000
 FOLDS = 5
 FEATURES = 800
-THRESHOLD = 0.5
+#: Held out, no clean document of 6000 reached 0.3, and 99.4 % of the toxic ones did (98.9 % reached 0.5).
+THRESHOLD = 0.3
 _SLICE = 2_000_000
 
 
