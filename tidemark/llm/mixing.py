@@ -10,8 +10,9 @@ siblings. All arithmetic is in whole tokens.
 A leaf that is given more than it has repeats its documents in epochs. Epoch e
 is ordered by md5(seed:e:doc_id); a leaf takes its whole epochs, and from the
 next one the longest prefix that fits the rest. That prefix is found without
-sorting the leaf: tokens are first summed in 4096 slots of the order, and only
-the slot in which the budget ends is looked at document by document.
+sorting the leaf: tokens are summed in 256 slots of the order, then in 256 slots
+of the one in which the budget ends, and only the slot in which it ends then is
+looked at document by document.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from .common import Workspace
 
 #: A token, for budgets: a run without space and the ASCII controls 09 to 0D.
 TOKEN = r"[^ \t\n\x0B\f\r]+"
-#: Leading hexadecimal digits of the order that name a slot: 16 ** 3 slots.
-SLOT_DIGITS = 3
+#: Leading hexadecimal digits of the order that name a slot: 256 slots, and 256 in one of them.
+SLOT_DIGITS = (2, 4)
 
 
 @dataclass(frozen=True)
@@ -126,15 +127,18 @@ def plan(docs: DataFrame, levels: Sequence[Level], budget: Column, seed: str = "
     shares = space.keep(shares, "shares")
     out = Plan(shares, levels, id_col, seed, ledger)
 
-    slot = F.substring("order", 1, SLOT_DIGITS)
-    drawn = ledger.join(shares.where("rest > 0"), names).select(*names, "rest", "n_tokens", out.order().alias("order")).withColumn("slot", slot)
-    slots = drawn.groupBy(*names, "slot", "rest").agg(F.sum("n_tokens").alias("n"))
-    upto = Window.partitionBy(*names).orderBy("slot")
-    slots = slots.withColumn("upto", F.sum("n").over(upto)).where("upto > rest AND upto - n <= rest").select(*names, "slot", (F.col("upto") - F.col("n")).alias("before"))
-    slots = space.keep(slots, "slots")
-    near = drawn.join(slots, [*names, "slot"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*names).orderBy("order")))
+    drawn = ledger.join(shares.where("rest > 0"), names).select(*names, "rest", "n_tokens", out.order().alias("order"))
+    ends = shares.where("rest > 0").select(*names, F.lit("").alias("slot"), F.lit(0).cast("long").alias("before"))
+    for digits in SLOT_DIGITS:  # the slot in which the budget ends, then the slot in that one
+        within = drawn.join(ends, names).where(F.col("order").startswith(F.col("slot")))
+        slots = within.groupBy(*names, "rest", "before", F.substring("order", 1, digits).alias("slot")).agg(F.sum("n_tokens").alias("n"))
+        slots = slots.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*names).orderBy("slot")))
+        ends = slots.where("upto > rest AND upto - n <= rest").select(*names, "slot", (F.col("upto") - F.col("n")).alias("before"))
+        ends = space.keep(ends, f"ends-{digits}")
+    near = drawn.join(ends, names).where(F.col("order").startswith(F.col("slot")))
+    near = near.withColumn("upto", F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*names).orderBy("order")))
     last = near.where("upto <= rest").groupBy(*names).agg(F.max("order").alias("last"))
-    cuts = slots.join(last, names, "left").select(*names, F.coalesce("last", "slot").alias("cut"))
+    cuts = ends.join(last, names, "left").select(*names, F.coalesce("last", "slot").alias("cut"))
     out.leaves = space.keep(shares.join(cuts, names, "left").where("whole > 0 OR cut IS NOT NULL").select(*names, "whole", "cut"), "cuts")
     return out
 
