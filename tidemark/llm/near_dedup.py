@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh_name
+from .common import Workspace, fresh_name, tidy
 from .graph import components
 
 SHINGLE = 5
@@ -220,7 +220,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     space = Workspace(spark, "near")
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("text"))
-    sketched = space.keep(texts.mapInArrow(_sketch, "k long, whole binary, sketch array<long>"), "sketches")
+    sketched = space.keep(texts.mapInArrow(tidy(_sketch), "k long, whole binary, sketch array<long>"), "sketches")
     copies = space.keep(sketched.groupBy("whole").agg(F.min("k").alias("rep")), "whole")
     members = space.keep(sketched.join(copies, "whole").select("k", "rep", F.when(F.col("k") == F.col("rep"), F.col("sketch")).alias("sketch")), "members")
 
@@ -252,8 +252,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         pairs = space.keep(pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), f"pairs-{r}")
         left = pairs.join(near.select(F.col("k").alias("a"), F.col("text").alias("left")), "a")
         both = left.join(near.select(F.col("k").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
-        found = space.keep(both.mapInArrow(_verify(similarity), "a long, b long"), f"links-{r + 1}")
+        found = space.keep(both.mapInArrow(tidy(_verify(similarity)), "a long, b long"), f"links-{r + 1}")
         done = pairs if done is None else done.unionByName(pairs)
+        if found.isEmpty():
+            continue
         root = components(root.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(found), space, f"components-{r + 1}")
     out = members.select("k", "rep").join(root, F.col("rep") == F.col("id"), "left").select("k", F.coalesce("root", "rep").alias("class"))
     return out.groupBy("k").agg(F.min("class").alias("class"))
