@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_name
+from .common import fresh_name, tidy
 from .pretokens import ChunkCache, compile_pattern
 
 
@@ -228,7 +228,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 #: Texts are taken in batches of about so many characters, to bound a worker's memory.
-BATCH_CHARS = 12_000_000
+BATCH_CHARS = 8_000_000
 
 
 def text_batches(batch: pa.RecordBatch, column: int):
@@ -261,7 +261,7 @@ def encode_table(docs: DataFrame, path: str, pattern: str, text_col: str = "text
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], pa.ListArray.from_arrays(offsets, flat)], [*[f.name for f in rest], ids_name])
         c.cache.clear()  # what other tasks of this worker do needs the memory
 
-    return docs.select(*[f.name for f in rest], text_col).mapInArrow(run, schema)
+    return docs.select(*[f.name for f in rest], text_col).mapInArrow(tidy(run), schema)
 
 
 def decode_table(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
@@ -275,7 +275,7 @@ def decode_table(encoded: DataFrame, path: str, pattern: str, ids_col: str = "id
             out = [None if ids is None else c.decode(ids) for ids in batch.column(len(rest)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(out, pa.binary())], [*[f.name for f in rest], name])
 
-    return encoded.select(*[f.name for f in rest], ids_col).mapInArrow(run, schema)
+    return encoded.select(*[f.name for f in rest], ids_col).mapInArrow(tidy(run), schema)
 
 
 def digest_table(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,7 +295,7 @@ def digest_table(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(left), pa.array(right)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
         c.cache.clear()  # what other tasks of this worker do needs the memory
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def vocabulary() -> tuple[str, str]:

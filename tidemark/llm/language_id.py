@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_name
+from .common import fresh_name, tidy
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -199,7 +199,7 @@ def identify(docs: DataFrame, network: Network, text_col: str = "text") -> DataF
             langs, scores = network.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, as_bytes, fresh_name, ordered_id, shuffle_width
+from .common import Workspace, as_bytes, fresh_name, ordered_id, shuffle_width, tidy
 
 #: White space that is stripped from a line: space and the ASCII controls 09 to 0D.
 BLANK = b" \t\n\x0b\x0c\r"
@@ -164,7 +164,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     number = F.lit(0)
     for cut in cuts:
         number = number + (ordered_id(id_col) > cut).cast("int")
-    lines = docs.select(F.col(text_col).alias("text"), ordered_id(id_col).alias("k"), number.alias("b")).mapInArrow(_lines, "h binary, k long, b int")
+    lines = docs.select(F.col(text_col).alias("text"), ordered_id(id_col).alias("k"), number.alias("b")).mapInArrow(tidy(_lines), "h binary, k long, b int")
     lines = space.keep(lines, "lines", by="b")
     store, shared = LineRuns(spark, fanout=fanout), []
     for i in range(len(cuts) + 1):
@@ -178,7 +178,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [fresh_name(docs, x) for x in ("n_lines", "n_dropped", "kept_text")]
     both = docs.withColumn(k, ordered_id(id_col)).join(gone, k, "left").select(*rest, text_col, drop)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col] + [f"`{names[0]}` long", f"`{names[1]}` long", f"`{names[2]}` string"])
-    return both.mapInArrow(_kept(names), schema)
+    return both.mapInArrow(tidy(_kept(names)), schema)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_name
+from .common import fresh_name, tidy
 from .near_dedup import mix
 
 #: Features are numbers below this.
@@ -243,7 +243,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
             p[[i for i, x in enumerate(texts) if not x]] = 0
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(p[:, k]) for k in range(len(names)))], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
