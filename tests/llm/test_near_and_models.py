@@ -107,6 +107,24 @@ def test_near_copies_against_all_pairs(spark, seed):
     assert near_dedup.near_dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [16, 256])
+def test_edited_copies_without_their_original(spark, monkeypatch, block):
+    """Copies that only some of the others are similar to, and no text that all are similar to."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(4)
+    base = [f"o{k}" for k in range(200)]
+    rows = []
+    for k in range(160):
+        copy = list(base)
+        for j in rng.sample(range(200), 3):
+            copy[j] = f"own{k}.{j}"
+        rows.append((k, " ".join(copy)))
+    want = brute_classes(rows)
+    assert len(want) > 100 and len(set(want.values())) > 1
+    got = {r.k: r["class"] for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {k: want.get(k, k) for k, _ in rows}
+
+
 def test_sketches_find_what_is_similar():
     rng, found, n = random.Random(9), 0, 0
     for _ in range(400):

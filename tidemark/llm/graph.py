@@ -31,13 +31,13 @@ def components(links: DataFrame, space: Workspace, name: str = "components") ->
     while not _all_stars(edges):
         k += 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = space.keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-{k}-large")
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = space.keep(large, f"{name}-{k}-edges")
-        least = space.keep(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-{k}-small")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = space.keep(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), f"{name}-{k}")
-        space.drop(f"{name}-{k - 1}", f"{name}-{k}-large", f"{name}-{k}-edges", f"{name}-{k}-small")
+        space.drop(f"{name}-{k - 1}", f"{name}-{k}-edges")
         edges = small
     # Done: each component is one star.
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

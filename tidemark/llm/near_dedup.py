@@ -8,8 +8,9 @@ proportion to how much of one stands in the other in the same order. Texts that
 share a sketch, or a sketch and the next one, form a bucket, and each is compared
 with the bucket's leader: at first the text whose sketches most others share, so
 that edited copies meet their original, then others drawn by hash. Pairs that
-hang together by now aren't compared again. So a bucket costs as much as it has
-members, not pairs.
+hang together by now aren't compared again. Where a bucket then still holds
+several components, every pair across them is compared, in pairs of blocks: so
+all texts that share a sketch are compared or hang together in the end.
 
 The similarity of two texts is c / (n + m - c) for n and m shingles of which c
 can be aligned in order (their longest common subsequence); for texts that keep
@@ -26,15 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh_name, tidy
+from .common import Workspace, fresh_name, shuffle_width, tidy
 from .graph import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 12
 SAMPLED = 3
-#: How often each bucket gets a leader that its members are compared with.
+#: How often each bucket gets a leader that its members are compared with, before what is left is compared pair by pair.
 ROUNDS = 3
+#: A bucket of more texts is cut into blocks of about so many.
+BLOCK = 256
 _SLICE = 2_000_000
 
 
@@ -209,6 +212,121 @@ def _verify(similarity: float):
     return run
 
 
+def _likely(seqs: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float):
+    """For each of ``left``, the places in ``right`` that have enough shingles in common with it, in whatever order, and how many."""
+    size = np.array([len(s) for s in seqs])
+    at = np.unique(np.concatenate([labelled(s) for s in seqs]), return_inverse=True)[1]
+    often = np.bincount(at) > 1
+    name = np.cumsum(often) - 1
+    parts = [name[x[often[x]]] for x in np.split(at, np.cumsum(size)[:-1])]
+    flat = np.concatenate([parts[j] for j in right])
+    ends = np.cumsum([len(parts[j]) for j in right])
+    mark = np.zeros(int(often.sum()), bool)
+    for i in left.tolist():
+        mark[parts[i]] = True
+        upto = np.concatenate([[0], np.cumsum(mark[flat])])[np.concatenate([[0], ends])]
+        mark[parts[i]] = False
+        shared = np.diff(upto)
+        need = np.ceil(similarity * (size[i] + size[right]) / (1 + similarity) - 1e-9)
+        yield i, right[shared >= np.maximum(1, need)], shared[shared >= np.maximum(1, need)]
+
+
+def _cell(ids: list[int], roots: np.ndarray, seqs: list[np.ndarray], sketch: np.ndarray, place: int, block: np.ndarray, across: bool, similarity: float):
+    """Links between texts of different components that meet in this cell first and don't hang together over links found here."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    every = np.arange(len(ids))
+    left, right = (every[block == block.min()], every[block != block.min()]) if across else (every, every)
+    if not len(left) or not len(right):
+        return
+    if len(left) * len(right) <= 64:
+        likely = ((i, right, np.zeros(len(right))) for i in left.tolist())
+    else:
+        likely = _likely(seqs, left, right, similarity)
+    pairs = []
+    for i, js, shared in likely:
+        good = (roots[js] != roots[i]) & ~(sketch[js, :place] == sketch[i, :place]).any(1)
+        if not across:
+            good &= js > i
+        pairs += [(-c, i, j) for c, j in zip(shared[good].tolist(), js[good].tolist(), strict=True)]
+    for _, i, j in sorted(pairs):
+        a, b = find(int(roots[i])), find(int(roots[j]))
+        if a != b and similar(seqs[i], seqs[j], similarity):
+            parent[a] = b
+            yield ids[i], ids[j]
+
+
+def _compare(similarity: float):
+    """Cells in order (k, root, place, block, gi, gj, bucket, sketch, text) to links."""
+
+    def work(rows: pa.Table):
+        col = {c: rows.column(c).combine_chunks() for c in rows.column_names}
+        ids, roots = col["k"].to_pylist(), np.asarray(col["root"])
+        place, block, gi, gj, bucket = (np.asarray(col[c]) for c in ("place", "block", "gi", "gj", "bucket"))
+        sketch = np.asarray(col["sketch"].flatten()).reshape(len(ids), SKETCHES)
+        seqs = [shingles(w) for w in word_hashes(col["text"].to_pylist())]
+        change = (bucket[1:] != bucket[:-1]) | (place[1:] != place[:-1]) | (gi[1:] != gi[:-1]) | (gj[1:] != gj[:-1])
+        start = np.concatenate([[0], np.flatnonzero(change) + 1, [len(ids)]]).tolist()
+        found = []
+        for s, e in zip(start[:-1], start[1:], strict=True):
+            if e - s > 1:
+                found += _cell(ids[s:e], roots[s:e], seqs[s:e], sketch[s:e], int(place[s]), block[s:e], bool(gi[s] != gj[s]), similarity)
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    def run(batches):
+        held: list[pa.Table] = []
+        size = 0
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
+                held.append(pa.Table.from_batches([batch]))
+                size += batch.num_rows
+                if size < 500:
+                    continue
+                rows = pa.concat_tables(held)
+                mark = [np.asarray(rows.column(c)) for c in ("place", "bucket", "gi", "gj")]
+                last = np.flatnonzero(np.logical_or.reduce([m[1:] != m[:-1] for m in mark]))
+                cut = int(last[-1]) + 1 if len(last) else 0  # the last cell may go on in the next batch
+                if cut:
+                    yield from work(rows.slice(0, cut))
+                held, size = [rows.slice(cut)], len(rows) - cut
+        if size:
+            yield from work(pa.concat_tables(held))
+
+    return run
+
+
+def _rest(met: DataFrame, root: DataFrame, sketched: DataFrame, near: DataFrame, similarity: float, space: Workspace) -> DataFrame | None:
+    """Links across components of all pairs that share a sketch, from (k, place, bucket) in ``met``; None if no bucket holds several components.
+
+    In each bucket the largest component is left out of comparison with itself:
+    its blocks meet those of the others, and these meet each other.
+    """
+    at = met.where(F.col("place") < SKETCHES).join(root.toDF("k", "root"), "k", "left").select("k", "place", "bucket", F.coalesce("root", "k").alias("root"))
+    at = space.keep(at, "rest-at")
+    shares = at.groupBy("place", "bucket", "root").agg(F.count("*").alias("n"))
+    most = shares.groupBy("place", "bucket").agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    most = most.select("place", "bucket", F.col("most.root").alias("main"), blocks(F.col("most.n")).alias("p"), blocks(F.col("n") - F.col("most.n")).alias("q"))
+    most = space.keep(most, "rest-open")
+    if most.isEmpty():
+        return None
+    own, draw = F.col("root") == F.col("main"), F.xxhash64("k", "place")
+    block = F.when(own, F.pmod(draw, F.col("p"))).otherwise(F.col("p") + F.pmod(draw, F.col("q"))).cast("int")
+    cells = at.join(most, ["place", "bucket"]).withColumn("block", block)
+    cells = cells.withColumn("other", F.explode(F.sequence(F.when(own, F.col("p")).otherwise(F.lit(0)), F.col("p") + F.col("q") - 1)))
+    cells = cells.select("k", "root", "place", "bucket", "block", F.least("block", "other").alias("gi"), F.greatest("block", "other").alias("gj"))
+    full = near.join(sketched.where(F.col("sketch").isNotNull()).select("k", "sketch"), "k")
+    by = ["place", "bucket", "gi", "gj"]
+    dealt = cells.join(full, "k").select("k", "root", "place", "block", "gi", "gj", "bucket", "sketch", "text").repartition(shuffle_width(met.sparkSession), *by).sortWithinPartitions(*by)
+    return space.keep(dealt.mapInArrow(tidy(_compare(similarity)), "a long, b long"), "links-rest")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(k, class): each id and the smallest id that it is a copy of, directly or over others.
 
@@ -228,11 +346,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     number = F.sequence(F.lit(0), F.lit(SKETCHES - 1))
     one = F.transform(number, lambda j: F.xxhash64(j, F.get("sketch", j)))
     two = F.transform(number, lambda j: F.xxhash64(j, F.get("sketch", j), F.get("sketch", F.pmod(j + 1, F.lit(SKETCHES)))))
-    rows = space.keep(members.where(F.col("sketch").isNotNull()).select("k", F.explode(F.concat(one, two)).alias("bucket")).distinct(), "buckets")
-    sizes = space.keep(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    met = space.keep(rows.join(sizes, "bucket"), "met")
+    rows = space.keep(members.where(F.col("sketch").isNotNull()).select("k", F.posexplode(F.concat(one, two)).alias("place", "bucket")).distinct(), "buckets")
+    sizes = space.keep(rows.groupBy("place", "bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    met = space.keep(rows.join(sizes, ["place", "bucket"]), "met")
     score = space.keep(met.groupBy("k").agg(F.sum("n").alias("score")), "scores")
-    met = space.keep(met.select("k", "bucket").join(score, "k"), "scored")
+    met = space.keep(met.select("k", "place", "bucket").join(score, "k"), "scored")
     space.drop("buckets", "sizes", "met")
     near = space.keep(texts.join(score, "k", "left_semi"), "texts")
 
@@ -257,6 +375,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if found.isEmpty():
             continue
         root = components(root.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(found), space, f"components-{r + 1}")
+    found = _rest(met, root, members, near, similarity, space)
+    if found is not None and not found.isEmpty():
+        root = components(root.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(found), space, "components-rest")
     out = members.select("k", "rep").join(root, F.col("rep") == F.col("id"), "left").select("k", F.coalesce("root", "rep").alias("class"))
     return out.groupBy("k").agg(F.min("class").alias("class"))
 
