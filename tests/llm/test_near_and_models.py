@@ -180,6 +180,21 @@ def test_embedding_links_against_all_pairs(spark, monkeypatch):
     assert len(got) == len(rows) and embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("count", [10_256, 10_000_000])
+def test_pairs_meet_at_any_number_of_vectors(count):
+    width, tables = embedding_dedup.code_shape(count, 0.95)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.normal(size=x.shape)
+    off -= (off * x).sum(1, keepdims=True) * x
+    y = 0.95 * x + math.sqrt(1 - 0.95**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    mean, columns = embedding_dedup.rotations(x, width * tables)
+    met = lambda k: (embedding_dedup.chunk_keys(x, mean, columns, tables) == embedding_dedup.chunk_keys(y, mean, columns, tables))[:, :k].any(1).mean()
+    assert width == math.ceil(math.log2(count / 2)) and met(tables) >= 0.99
+    assert count < 10**6 or met(18) < 0.95
+
+
 def nearest(rows, k):
     good = [(i, np.array(v, np.float32)) for i, v in rows if i is not None and v and len(v) == 16 and all(c is not None and math.isfinite(c) for c in v) and any(v)]
     out = {}

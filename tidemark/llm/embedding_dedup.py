@@ -14,7 +14,7 @@ Equal vectors are compared once, with their number.
 
 from __future__ import annotations
 
-from math import ceil, log2
+from math import acos, ceil, log, log1p, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,10 @@ from .graph import components
 from .vectors import lists, matrix, usable
 
 COSINE = 0.95
+#: Tables at least; wide chunks have more.
 TABLES = 18
+#: How likely a pair at the least cosine meets in some table, at any number of vectors.
+MEETING = 0.995
 #: Vectors that rotations are learned from, at most (about); chosen by hash.
 SAMPLE = 10_000
 ROUNDS = 30
@@ -50,6 +53,18 @@ def rotations(x: np.ndarray, bits: int, seed: int = 5) -> tuple[np.ndarray, np.n
     return mean, np.concatenate(out, 1)[:, :bits]
 
 
+def code_shape(count: int, cosine: float, tables: int = TABLES) -> tuple[int, int]:
+    """The width of a chunk and the number of tables for ``count`` vectors.
+
+    Two directions differ in a sign with a chance of their angle over pi, so a
+    chunk of a pair at ``cosine`` is equal with the power of its width; there are
+    as many tables as ``MEETING`` takes with chunks that are equal independently.
+    """
+    width = max(4, min(60, ceil(log2(max(count, 2) / 2))))
+    equal = min((1 - acos(max(-1.0, min(1.0, cosine))) / pi) ** width, 1 - 1e-12)
+    return width, max(tables, ceil(log(1 - MEETING) / log1p(-equal)))
+
+
 def chunk_keys(x: np.ndarray, mean: np.ndarray, columns: np.ndarray, tables: int) -> np.ndarray:
     """The code of each row in ``tables`` chunks, as numbers."""
     bits = ((x - mean) @ columns >= 0).reshape(len(x), tables, -1)
@@ -154,7 +169,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Vectors of different lengths don't link. An empty table gives an empty one.
 
     The width of a chunk follows the number of distinct vectors (its logarithm),
-    so that a bucket of unrelated vectors stays small at any size.
+    so that a bucket of unrelated vectors stays small at any size. The number of
+    tables (``tables`` at least) grows with it, so that a pair at ``cosine`` meets
+    with a chance of about ``MEETING`` at any size, more alike ones with a higher.
     """
     spark = vectors.sparkSession
     space = Workspace(spark, "itq")
@@ -184,7 +201,7 @@ def _of_one_length(same: DataFrame, dim: int, count: int, cosine: float, tables:
     draw = F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) / float(1 << 30)
     sample = np.array(sorted(tuple(r[0]) for r in same.where(draw < share).select("vector").collect()), np.float64).reshape(-1, dim)
     sample /= np.sqrt((sample * sample).sum(1, keepdims=True))
-    width = max(4, min(60, ceil(log2(max(count, 2) / 2))))
+    width, tables = code_shape(count, cosine, tables)
     mean, columns = rotations(sample, width * tables)
 
     def code(batches):
