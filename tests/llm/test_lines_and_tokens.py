@@ -184,6 +184,21 @@ def test_token_files_notice_damage(spark, tmp_path):
         token_files.TokenFile(io.BytesIO(b"x" * 100))
 
 
+def test_ids_that_do_not_fit_two_bytes():
+    import io
+
+    assert [token_files.id_width(n) for n in (50_000, 65_535, 65_536)] == [2, 2, 4]
+    assert token_files.id_width(10, 70_000) == 4 and token_files.id_width(10, 2) == 2 and token_files.id_width(10, wide=True) == 4
+    ids = np.array([1, 65_536], np.int32)
+    with pytest.raises(ValueError, match="does not fit"):
+        token_files.TokenFileWriter(io.BytesIO(), 2).add(1, ids)
+    out = io.BytesIO()
+    w = token_files.TokenFileWriter(out, 4)
+    w.add(1, ids)
+    w.close()
+    assert token_files.TokenFile(out).document(0).tolist() == ids.tolist()
+
+
 def test_token_files_of_an_empty_table(spark):
     assert token_files.read_token_files(write(spark, docs(spark, []))).count() == 0
 

@@ -54,6 +54,8 @@ class TokenFileWriter:
         self.counts: list[int] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and (ids.min() < 0 or ids.max() > np.iinfo(self.dtype).max):
+            raise ValueError(f"an id does not fit into {self.width} bytes")
         raw = np.ascontiguousarray(ids, self.dtype).tobytes()
         frame = self.zstd.compress(raw)
         self.out.write(frame)
@@ -113,6 +115,7 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache = ChunkCache(compile_pattern(pattern), self._chunks)
+        self.largest = max(self.tokenizer.get_vocab().values(), default=0)
         #: Bytes of each token; the vocabulary writes a byte as one character.
         self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
@@ -154,6 +157,12 @@ def library_encoder(path: str, pattern: str) -> LibraryEncoder:
 #: Chunks that the library encodes as one text.
 JOINED = 200
 
+
+def id_width(largest: int, end_id: int | None = None, wide: bool = False) -> int:
+    """The bytes of an id: two if all ids of a vocabulary up to ``largest`` fit, and ``end_id`` does, else four."""
+    return 4 if wide or max(largest, end_id or 0) > 0xFFFF else 2
+
+
 MANIFEST = "part int, path string, docs long, tokens long"
 
 
@@ -165,14 +174,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, pattern: str
     the same id in the order of their texts. Null text is empty; each document
     ends with ``end_id`` if there is one. Files appear whole or not at all, and
     each attempt of a task writes its own: read those that a kept manifest names.
-    An empty table has no files.
+    An empty table has no files. Ids take four bytes each with ``wide_ids``, or if
+    the vocabulary or ``end_id`` goes beyond two.
     """
     spark = docs.sparkSession
     by = F.col("id").asc_nulls_last()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(parts or shuffle_width(spark), by).sortWithinPartitions(by, "text")
-    width = 4 if wide_ids else 2
-
     def run(batches):
         writer = None
         task = TaskContext.get()
@@ -185,7 +193,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, pattern: str
             return
         encoder = library_encoder(tokenizer, pattern)
         with whole_file(path) as out:
-            writer = TokenFileWriter(out, width)
+            writer = TokenFileWriter(out, id_width(encoder.largest, end_id, wide_ids))
             while first is not None:
                 for piece, texts in text_batches(first, 1):
                     for doc, ids in zip(piece.column(0).to_pylist(), encoder.cache.texts(texts), strict=True):
