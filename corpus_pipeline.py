@@ -35,10 +35,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each class of near copies, once."""
+    """Keep the document of the smallest id of each class of near copies.
+
+    Of rows with the same id and text one stays, the smallest by the other
+    columns. Rows that share an id and have different texts all stay.
+    """
     kept = near_dedup.near_dedup(docs.select(*COLUMNS)).where("kept")
     named, nameless = kept.where("doc_id IS NOT NULL"), kept.where("doc_id IS NULL")
-    return named.dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(nameless.select(*COLUMNS))
+    rest = COLUMNS[2:]
+    once = named.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest")).select("doc_id", "text", *(F.col("rest")[c].alias(c) for c in rest))
+    return once.unionByName(nameless.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

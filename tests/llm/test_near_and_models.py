@@ -348,6 +348,17 @@ def test_toxicity_on_rows_that_were_not_learned_from():
 # Pipeline
 
 
+def test_pipeline_keeps_all_texts_of_an_id(spark):
+    import corpus_pipeline
+
+    one, two = (" ".join(f"{w}{k}" for k in range(30)) for w in "ab")
+    rows = [(1, one, "en", "s1", 9), (1, two, "en", "s1", 9), (1, one, "en", "s0", 9), (2, one, "en", "s1", 9), (None, one, "en", "s1", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, docs, DATA)
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, one, "en", "s0", 9), (1, two, "en", "s1", 9), (None, one, "en", "s1", 9)], key=str)
+
+
 def test_pipeline_against_plain_python(spark):
     """Each stage on what the one before kept."""
     import corpus_pipeline
