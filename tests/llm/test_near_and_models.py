@@ -308,6 +308,12 @@ def test_language_edge_cases(spark):
     assert [r.h for r in spark.createDataFrame([(1,), (None,)], "doc_id long").select(language_id.held_out().alias("h")).collect()][1] is False
 
 
+def test_upper_case_share_is_of_the_whole_text():
+    for n in (2, 1000, 3998, 3999, 5998, 40_000):
+        assert toxicity._form(("Ab" * n)[:n])[0] == 8, n
+    assert toxicity._form("abcD" * 2000)[0] == toxicity._form("Dabc" * 2000)[0] == toxicity._form("Éabc" * 2000)[0] == 4
+
+
 def test_toxicity_chain(spark):
     rng = random.Random(1)
     plain = [f"word{k}" for k in range(300)]
