@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -92,10 +93,22 @@ def odd_texts():
 def test_bpe_is_the_librarys(library):
     texts = odd_texts()
     c = bpe.Codec(*bpe.vocabulary())
-    for _ in range(2):  # the second time from the cache
-        for text, ids in zip(texts, c.encode(texts), strict=True):
-            assert ids.tolist() == library.encode_ordinary(text)
-            assert c.decode(ids.tolist()) == text.encode()
+    flat, counts = c.encode(pa.array(texts))
+    assert len(counts) == len(texts)
+    for text, ids in zip(texts, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
+        assert ids.tolist() == library.encode_ordinary(text)
+        assert c.decode(ids.tolist()) == text.encode()
+    flat, counts = c.encode(pa.array([None, "", "a b"]).slice(1))
+    assert flat.tolist() == library.encode_ordinary("a b") and counts.tolist() == [0, 2]
+
+
+def test_text_batches_hold_all_rows_once():
+    rows = pa.record_batch([pa.array(range(300)), pa.array([None if k % 7 == 0 else "x" * (k % 50) for k in range(300)])], ["k", "text"])
+    for size in (1, 40, 1000, 10**6):
+        parts = list(bpe.text_batches(iter([rows.slice(0, 0), rows.slice(0, 120), rows.slice(0, 0), rows.slice(120)]), 1, size))
+        assert [k for part, _ in parts for k in part.column(0).to_pylist()] == list(range(300))
+        assert all(t == (x or "") for part, texts in parts for t, x in zip(texts.to_pylist(), part.column(1).to_pylist(), strict=True))
+        assert len(parts) == 1 if size == 10**6 else len(parts) > 3
 
 
 def test_bpe_replays_merges_out_of_order(tmp_path):
@@ -139,7 +152,6 @@ def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_files.library_vocabulary()[0])
-    t.encode_special_tokens = True
     texts = odd_texts()[:300] + [None, "word " * 20_000, "tie", "tie"]
     rows = [(k * 3 % 307, x) for k, x in enumerate(texts)] + [(None, "no id"), (5, "again"), (5, "again")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -199,6 +211,34 @@ def test_ids_that_do_not_fit_two_bytes():
     assert token_files.TokenFile(out).document(0).tolist() == ids.tolist()
 
 
+def test_registered_op8_and_op9(spark, library, tmp_path):
+    """The queries as registered, against the libraries' own calls; a special token's string becomes that token in op9 only."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_files.library_vocabulary()[0])
+    texts = [None, "a <|endoftext|> b", "<|endoftext|>", *odd_texts()[:200], "word " * 9000]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    start, got = 0, token_files.op9(spark, str(tmp_path)).orderBy("doc_id").collect()
+    for k, (x, r) in enumerate(zip(texts, got, strict=True)):
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert got[2].n_tokens == 2
+    for x, r in zip(texts, bpe.op8(spark, str(tmp_path)).orderBy("doc_id").collect(), strict=True):
+        ids = library.encode_ordinary(x or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256((x or "").encode()).hexdigest()
+
+
+def test_special_tokens_as_text():
+    path, pattern = token_files.library_vocabulary()
+    plain, as_text = token_files.LibraryEncoder(path, pattern), token_files.LibraryEncoder(path, pattern, special_as_text=True)
+    texts = pa.array(["x", "a <|endoftext|> b", None, "y"])
+    flat, counts = plain.texts(texts)
+    assert flat.tolist() == [87, 64, 220, 50256, 275, 88] and counts.tolist() == [1, 4, 0, 1]
+    assert as_text.texts(texts)[0].tolist() == [87, 64, 1279, 91, 437, 1659, 5239, 91, 29, 275, 88]
+
+
 def test_token_files_of_an_empty_table(spark):
     assert token_files.read_token_files(write(spark, docs(spark, []))).count() == 0
 

@@ -18,11 +18,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_name, tidy
-from .pretokens import ChunkCache, compile_pattern
+from .pretokens import PieceEncoder, compile_pattern, laid
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -74,10 +75,13 @@ class Merges:
 
     def replay(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces one after the other, and how many each has."""
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        n = int(size.sum())
-        tok = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
-        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), size)
+        return self.replay_laid(np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces)))
+
+    def replay_laid(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pieces that lie end to end as bytes."""
+        n, pieces = len(data), len(size)
+        tok = self.byte[data]
+        piece = np.repeat(np.arange(pieces, dtype=np.int32), size)
         nxt = np.arange(1, n + 1, dtype=np.int32)
         prv = np.arange(-1, n - 1, dtype=np.int32)
         ends = np.cumsum(size)[size > 0] - 1
@@ -150,13 +154,14 @@ class Merges:
         alive = np.ones(n, bool)
         dead = self._dead(nxt, prv, n, ends)
         alive[dead] = False
-        count = np.bincount(piece[alive], minlength=len(pieces)).astype(np.int64)
+        count = np.bincount(piece[alive], minlength=pieces).astype(np.int64)
         flat = tok[alive]
         self.redone = len(redo)
         if redo:
             parts = np.split(flat, np.cumsum(count)[:-1])
+            upto = np.cumsum(size)
             for k in redo:
-                parts[k] = np.array(self.one(pieces[k]), np.int32)
+                parts[k] = np.array(self.one(data[upto[k] - size[k] : upto[k]].tobytes()), np.int32)
             count = np.array([len(x) for x in parts], np.int64)
             flat = np.concatenate(parts).astype(np.int32)
         return flat, count
@@ -192,30 +197,13 @@ class Codec:
 
     def __init__(self, path: str, pattern: str):
         self.merges = Merges(path)
-        self.pattern = compile_pattern(pattern)
-        self.cache = ChunkCache(self.pattern, self._chunks)
+        self.pieces = PieceEncoder(compile_pattern(pattern), lambda pieces: self.merges.replay_laid(*laid(pieces)))
         self.decimal = [str(i) for i in range(self.merges.wide)]
         self.token = [self.merges.token.get(i, b"") for i in range(self.merges.wide)]
 
-    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        known: dict[str, int] = {}
-        at, many = [], []
-        for chunk in chunks:
-            own = self.pattern.findall(chunk)
-            many.append(len(own))
-            at += [known.setdefault(x, len(known)) for x in own]
-        flat, count = self.merges.replay([x.encode() for x in known])
-        start = np.cumsum(count) - count
-        at = np.array(at, np.int64)
-        own = count[at]
-        total = int(own.sum())
-        ids = flat[np.arange(total) + np.repeat(start[at] - np.cumsum(own) + own, own)] if total else flat[:0]
-        upto = np.concatenate([[0], np.cumsum(own)])
-        cuts = np.concatenate([[0], np.cumsum(many)])
-        return ids, np.diff(upto[cuts])
-
-    def encode(self, texts: list[str]):
-        return self.cache.texts(texts)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty) one after the other, and how many each has."""
+        return self.pieces.texts(texts)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -227,19 +215,36 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-#: Texts are taken in batches of about so many characters, to bound a worker's memory.
-BATCH_CHARS = 8_000_000
+#: Texts are taken in batches of about so many bytes, to bound a worker's memory.
+BATCH_BYTES = 12_000_000
+
+
+def text_batches(batches, column: int, size: int = BATCH_BYTES):
+    """Batches put together or cut so that the texts of each have about ``size`` bytes (or are one text), with their texts (null: empty)."""
+    held: list[pa.RecordBatch] = []
+    have = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        length = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+        start = 0
+        for i, n in enumerate(np.cumsum(length).tolist()):
+            if have + n >= size:
+                held.append(batch.slice(start, i + 1 - start))
+                yield _with_texts(held, column)
+                held, have, start = [], -n, i + 1
+        if start < batch.num_rows:
+            held.append(batch.slice(start))
+            have += int(length.sum())
+        else:
+            have = 0
+    if held:
+        yield _with_texts(held, column)
 
 
-def text_batches(batch: pa.RecordBatch, column: int):
-    """Slices of a batch with their texts (null: empty)."""
-    texts = [x or "" for x in batch.column(column).to_pylist()]
-    start = size = 0
-    for i, x in enumerate(texts):
-        size += len(x)
-        if size >= BATCH_CHARS or i + 1 == len(texts):
-            yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-            start, size = i + 1, 0
+def _with_texts(held: list[pa.RecordBatch], column: int) -> tuple[pa.RecordBatch, pa.Array]:
+    whole = held[0] if len(held) == 1 else pa.concat_batches(held)
+    return whole, pc.fill_null(whole.column(column), "").cast(pa.string())
 
 
 def encode_table(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_name: str = "ids") -> DataFrame:
@@ -253,13 +258,10 @@ def encode_table(docs: DataFrame, path: str, pattern: str, text_col: str = "text
 
     def run(batches):
         c = codec(path, pattern)
-        for batch in batches:
-            for part, texts in text_batches(batch, len(rest)):
-                ids = list(c.encode(texts))
-                flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], pa.ListArray.from_arrays(offsets, flat)], [*[f.name for f in rest], ids_name])
-        c.cache.clear()  # what other tasks of this worker do needs the memory
+        for part, texts in text_batches(batches, len(rest)):
+            ids, counts = c.encode(texts)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], [*[f.name for f in rest], ids_name])
 
     return docs.select(*[f.name for f in rest], text_col).mapInArrow(tidy(run), schema)
 
@@ -284,16 +286,15 @@ def digest_table(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 
     def run(batches):
         c = codec(path, pattern)
-        for batch in batches:
-            for part, texts in text_batches(batch, 1):
-                counts, left, right = [], [], []
-                for ids in c.encode(texts):
-                    ids = ids.tolist()
-                    counts.append(len(ids))
-                    left.append(hashlib.sha256(" ".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
-                    right.append(hashlib.sha256(c.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(left), pa.array(right)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
-        c.cache.clear()  # what other tasks of this worker do needs the memory
+        for part, texts in text_batches(batches, 1):
+            flat, counts = c.encode(texts)
+            left, right, start = [], [], 0
+            for n in counts.tolist():
+                ids = flat[start : start + n].tolist()
+                start += n
+                left.append(hashlib.sha256(" ".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
+                right.append(hashlib.sha256(c.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(left), pa.array(right)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

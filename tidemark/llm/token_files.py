@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -30,9 +31,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import text_batches
-from .common import Workspace, shuffle_width
+from .common import Workspace, shuffle_width, tidy
 from .files import open_file, whole_file
-from .pretokens import ChunkCache, compile_pattern
+from .pretokens import PieceEncoder, compile_pattern, expand, laid, spaced, strings
 
 # Fixed values of the zstandard format: skippable frames (the second is the seek table's), the seek table's footer.
 DIRECTORY_MAGIC = 0x184D2A50
@@ -54,14 +55,21 @@ class TokenFileWriter:
         self.counts: list[int] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        if len(ids) and (ids.min() < 0 or ids.max() > np.iinfo(self.dtype).max):
+        self.add_all([doc_id], ids, np.array([len(ids)]))
+
+    def add_all(self, doc_ids: list[int | None], flat: np.ndarray, counts: np.ndarray) -> None:
+        """A frame for each document; their ids stand one after the other."""
+        if len(flat) and (flat.min() < 0 or flat.max() > np.iinfo(self.dtype).max):
             raise ValueError(f"an id does not fit into {self.width} bytes")
-        raw = np.ascontiguousarray(ids, self.dtype).tobytes()
-        frame = self.zstd.compress(raw)
-        self.out.write(frame)
-        self.entries.append((len(frame), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
-        self.ids.append(NO_DOC if doc_id is None else doc_id)
-        self.counts.append(len(ids))
+        every, start = memoryview(np.ascontiguousarray(flat, self.dtype)).cast("B"), 0
+        for doc_id, n in zip(doc_ids, counts.tolist(), strict=True):
+            raw = every[start : start + n * self.width]
+            start += n * self.width
+            frame = self.zstd.compress(raw)
+            self.out.write(frame)
+            self.entries.append((len(frame), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
+            self.ids.append(NO_DOC if doc_id is None else doc_id)
+            self.counts.append(n)
 
     def close(self) -> None:
         n = len(self.ids)
@@ -106,56 +114,80 @@ class TokenFile:
 
 
 class LibraryEncoder:
-    """The tokenizers library's encoding, each distinct chunk once."""
+    """What the tokenizers library's ``encode(text, add_special_tokens=False)`` gives, each distinct piece of a batch encoded once.
+
+    Texts that hold the string of an added token (such as ``<|endoftext|>``) go to
+    the library whole, which makes that token's id of it; with
+    ``special_as_text`` such strings are ordinary text.
+    """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache = ChunkCache(compile_pattern(pattern), self._chunks)
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.pieces = PieceEncoder(compile_pattern(pattern), self._pieces)
         self.largest = max(self.tokenizer.get_vocab().values(), default=0)
         #: Bytes of each token; the vocabulary writes a byte as one character.
-        self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        self.width = np.zeros(self.largest + 1, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.width[i] = len(token)
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.fromiter((t for x in ids for t in x), np.int32, sum(map(len, ids))), np.fromiter(map(len, ids), np.int64, len(ids))
-
-    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Many chunks go to the library as one text: one that starts with a space and has no other white space at an end stands for itself there too."""
-        plain = [len(x) > 1 and x[0] == " " and not x[1].isspace() and not x[-1].isspace() for x in chunks]
-        order = np.argsort(~np.array(plain, bool), kind="stable")
-        n, flat, count = sum(plain), [], []
-        for i in [*range(0, n, JOINED), *range(n, len(chunks), 4096)]:
-            part = [chunks[k] for k in order[i : min(i + JOINED, n) if i < n else i + 4096].tolist()]
-            if i < n:
-                ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int32)
-                ends, at = np.cumsum([len(x.encode()) for x in part]), np.cumsum(self.width[ids])
-                last = np.searchsorted(at, ends)
-                if len(at) and at[-1] == ends[-1] and (at[last] == ends).all():
-                    flat.append(ids)
-                    count.append(np.diff(last, prepend=-1))
-                    continue
-            ids, own = self._each(part)
-            flat.append(ids)
-            count.append(own)
-        flat, count = np.concatenate(flat), np.concatenate(count)
-        back = np.argsort(order)  # to the order of the chunks
-        start, own = (np.cumsum(count) - count)[back], count[back]
-        return flat[np.arange(len(flat)) + np.repeat(start - np.cumsum(own) + own, own)], own
+        flat, count = [np.zeros(0, np.int32)], []
+        for i in range(0, len(texts), 1024):
+            for x in self.tokenizer.encode_batch_fast(texts[i : i + 1024], add_special_tokens=False):
+                flat.append(np.array(x.ids, np.int32))
+                count.append(len(flat[-1]))
+        return np.concatenate(flat), np.array(count, np.int64)
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Many pieces go to the library as one text: one that starts with a space and doesn't end with white space stands for itself there too."""
+        plain = spaced(pieces, SPACE)
+        joined, rest = pieces.filter(pa.array(plain)), pieces.filter(pa.array(~plain)).to_pylist()
+        flat, count = self._joined(joined)
+        more, many = self._each(rest)
+        place = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        back = np.argsort(place, kind="stable")  # to the order of the pieces
+        count = np.concatenate([count, many])
+        return expand(np.concatenate([flat, more]), count, back), count[back]
+
+    def _joined(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        groups = [strings(pieces.slice(i, JOINED)) for i in range(0, len(pieces), JOINED)]
+        flat, _ = self._each(groups)
+        ends, at = np.cumsum(laid(pieces)[1]), np.cumsum(self.width[flat])
+        last = np.searchsorted(at, ends)
+        if len(ends) and not (at[-1] == ends[-1] and (at[last] == ends).all()):  # a vocabulary whose tokens aren't bytes of the text
+            return self._each(pieces.to_pylist())
+        return flat, np.diff(last, prepend=-1)
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty) one after the other, and how many each has."""
+        texts = pc.fill_null(texts, "")
+        own = np.zeros(len(texts), bool)
+        for token in self.added:
+            own |= np.asarray(pc.match_substring(texts, token))
+        if not own.any():
+            return self.pieces.texts(texts)
+        mask = pa.array(own)
+        flat, count = self.pieces.texts(texts.filter(pc.invert(mask)))
+        more, many = self._each(texts.filter(mask).to_pylist())
+        out = np.zeros(len(texts), np.int64)
+        out[~own], out[own] = count, many
+        place = np.concatenate([np.flatnonzero(~own), np.flatnonzero(own)])
+        return expand(np.concatenate([flat, more]).astype(np.int32), np.concatenate([count, many]), np.argsort(place, kind="stable")), out
 
 
 @lru_cache(maxsize=2)
-def library_encoder(path: str, pattern: str) -> LibraryEncoder:
-    return LibraryEncoder(path, pattern)
+def library_encoder(path: str, pattern: str, special_as_text: bool = False) -> LibraryEncoder:
+    return LibraryEncoder(path, pattern, special_as_text)
 
 
-#: Chunks that the library encodes as one text.
+#: Pieces that the library encodes as one text.
 JOINED = 200
+SPACE = np.arange(256) == 32
 
 
 def id_width(largest: int, end_id: int | None = None, wide: bool = False) -> int:
@@ -166,7 +198,7 @@ def id_width(largest: int, end_id: int | None = None, wide: bool = False) -> int
 MANIFEST = "part int, path string, docs long, tokens long"
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, pattern: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, wide_ids: bool = False) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, pattern: str, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, wide_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """Encode ``docs`` in ascending order of id into files below ``folder``, and return their manifest.
 
     Rows are dealt to files by ranges of the id, so that files in the order of
@@ -175,7 +207,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, pattern: str
     ends with ``end_id`` if there is one. Files appear whole or not at all, and
     each attempt of a task writes its own: read those that a kept manifest names.
     An empty table has no files. Ids take four bytes each with ``wide_ids``, or if
-    the vocabulary or ``end_id`` goes beyond two.
+    the vocabulary or ``end_id`` goes beyond two. The string of a special token in
+    a text becomes that token, as the library has it, unless ``special_as_text``.
+    Other columns of ``docs``, whatever their names, play no part.
     """
     spark = docs.sparkSession
     by = F.col("id").asc_nulls_last()
@@ -187,22 +221,22 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, pattern: str
         part = task.partitionId()
         path = f"{folder}/part-{part:06d}-{task.taskAttemptId()}.ids.zst"
         end = np.zeros(0, np.int32) if end_id is None else np.array([end_id], np.int32)
-        batches = (b for b in batches if b.num_rows)
-        first = next(batches, None)
+        parts = text_batches(batches, 1)
+        first = next(parts, None)
         if first is None:
             return
-        encoder = library_encoder(tokenizer, pattern)
+        encoder = library_encoder(tokenizer, pattern, special_as_text)
         with whole_file(path) as out:
             writer = TokenFileWriter(out, id_width(encoder.largest, end_id, wide_ids))
             while first is not None:
-                for piece, texts in text_batches(first, 1):
-                    for doc, ids in zip(piece.column(0).to_pylist(), encoder.cache.texts(texts), strict=True):
-                        writer.add(doc, np.concatenate([ids, end]))
-                first = next(batches, None)
+                piece, texts = first
+                flat, counts = encoder.texts(texts)
+                writer.add_all(piece.column(0).to_pylist(), np.insert(flat, np.repeat(np.cumsum(counts), len(end)), np.tile(end, len(counts))), counts + len(end))
+                first = next(parts, None)
             writer.close()
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.array([len(writer.ids)], pa.int64()), pa.array([sum(writer.counts)], pa.int64())], ["part", "path", "docs", "tokens"])
 
-    return rows.mapInArrow(run, MANIFEST)
+    return rows.mapInArrow(tidy(run), MANIFEST)
 
 
 def read_token_files(manifest: DataFrame, summary: bool = False) -> DataFrame:
