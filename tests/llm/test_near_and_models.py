@@ -5,6 +5,8 @@ import hashlib
 import itertools
 import math
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -107,6 +109,57 @@ def test_near_copies_against_all_pairs(spark, seed):
     assert near_dedup.near_dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [32, 1024])
+@pytest.mark.parametrize("common, own", [(440, 70), (450, 60)])
+def test_pairs_that_share_a_template(spark, monkeypatch, block, common, own):
+    """Near-copy pairs of which every text shares most of its words with all others, at just below the similarity."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(common)
+    template = [f"t{k}" for k in range(common)]
+    rows = []
+    for k in range(150):
+        first = [f"own{k}.{j}" for j in range(own)]
+        second = list(first)
+        for j in rng.sample(range(own), 3):
+            second[j] = "edited"
+        rows += [(2 * k, " ".join(first + template)), (2 * k + 1, " ".join(second + template))]
+    heads = [near_dedup.shingles(near_dedup.word_hashes([t])[0]) for _, t in rows[:40:2]]
+    assert not any(near_dedup.similar(a, b) for a, b in itertools.combinations(heads, 2))
+    got = {r.k: r["class"] for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(c in (k, k - k % 2) for k, c in got.items())
+    assert sum(got[2 * k + 1] == 2 * k for k in range(150)) >= 149
+
+
+def test_a_repeat_leaves_the_other_labels_alone():
+    s = np.array([5, 9, 7, 9, 11, 9], np.uint64)
+    own = near_dedup.labelled(s)
+    assert own[[0, 1, 2, 4]].tolist() == [5, 9, 7, 11] and len(set(own.tolist())) == 6
+    words = [f"r{k}" for k in range(300)]
+    a, b = (near_dedup.shingles(w) for w in near_dedup.word_hashes([" ".join(words), " ".join(words + words[:6])]))
+    assert near_dedup.similar(a, b) and (near_dedup.sketches(a) == near_dedup.sketches(b)).sum() > 6
+
+
+def test_counting_shingles_in_common(monkeypatch):
+    monkeypatch.setattr(near_dedup, "COLUMNS", 7)
+    rng = random.Random(8)
+    seqs = [np.array([rng.randrange(rng.choice([4, 40, 400])) for _ in range(rng.randrange(1, 60))], np.uint64) for _ in range(50)]
+    bags = [Counter(s.tolist()) for s in seqs]
+    left, right = np.arange(0, 50, 2), np.arange(50)
+    for rare in (1, 3, 16, 100):
+        monkeypatch.setattr(near_dedup, "RARE", rare)
+        got = near_dedup.in_common(seqs, left, right)
+        assert all(got[a, b] == sum((bags[i] & bags[j]).values()) for a, i in enumerate(left) for b, j in enumerate(right) if i != j)
+
+
+def test_long_texts_are_aligned_in_a_band():
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 1 << 60, 400_000, np.uint64)
+    b = np.delete(a, rng.choice(len(a), 20_000, replace=False))
+    start = time.perf_counter()
+    assert near_dedup.similar(a, b)
+    assert time.perf_counter() - start < 60
+
+
 @pytest.mark.parametrize("block", [16, 256])
 def test_edited_copies_without_their_original(spark, monkeypatch, block):
     """Copies that only some of the others are similar to, and no text that all are similar to."""
@@ -125,6 +178,14 @@ def test_edited_copies_without_their_original(spark, monkeypatch, block):
     assert got == {k: want.get(k, k) for k, _ in rows}
 
 
+def test_registered_op3(spark, tmp_path):
+    rows = list(enumerate(corpus(5, 25))) + [(800, None), (801, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_classes(rows)
+    got = {r.doc_id: (r.class_id, r.kept) for r in near_dedup.op3(spark, str(tmp_path)).collect()}
+    assert got == {k: (want.get(k, k), want.get(k, k) == k) for k, _ in rows}
+
+
 def test_sketches_find_what_is_similar():
     rng, found, n = random.Random(9), 0, 0
     for _ in range(400):

@@ -5,12 +5,16 @@ space, in lower case). Each shingle is labelled with its occurrence number, so
 repeats count. A sketch samples the few labelled shingles that come first in a
 random order and keeps them in the order of the text; texts share it in
 proportion to how much of one stands in the other in the same order. Texts that
-share a sketch, or a sketch and the next one, form a bucket, and each is compared
-with the bucket's leader: at first the text whose sketches most others share, so
-that edited copies meet their original, then others drawn by hash. Pairs that
-hang together by now aren't compared again. Where a bucket then still holds
-several components, every pair across them is compared, in pairs of blocks: so
-all texts that share a sketch are compared or hang together in the end.
+share a sketch form a bucket, and every pair of a bucket is compared unless it
+hangs together by other links already. Buckets all of whose members lie in
+another bucket too are left to that one.
+
+A bucket of many texts is cut into blocks. First the texts of each block are
+compared with each other and with the bucket's leader, the text whose sketches
+most others share; where a bucket then still holds several components, the pairs
+across them are compared, in pairs of blocks. A pair is aligned only if it has
+enough labelled shingles in common, whatever their order; these are counted for
+all pairs of a block at once.
 
 The similarity of two texts is c / (n + m - c) for n and m shingles of which c
 can be aligned in order (their longest common subsequence); for texts that keep
@@ -20,7 +24,8 @@ a band as wide as the similarity allows are looked at.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from bisect import bisect_left, bisect_right
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +39,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 12
 SAMPLED = 3
-#: How often each bucket gets a leader that its members are compared with, before what is left is compared pair by pair.
-ROUNDS = 3
-#: A bucket of more texts is cut into blocks of about so many.
-BLOCK = 256
+#: A bucket of more texts, or of more shingles, is cut into blocks of about so many.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 _SLICE = 2_000_000
 
 
@@ -101,7 +104,7 @@ def shingles(words: np.ndarray) -> np.ndarray:
 
 
 def labelled(s: np.ndarray) -> np.ndarray:
-    """Shingles told apart by how many equal ones stand before them."""
+    """Shingles told apart by how many equal ones stand before them; the first of equal ones stays as it is, so that texts with and without repeats agree."""
     order = np.argsort(s, kind="stable")
     run = s[order]
     same = np.concatenate([[False], run[1:] == run[:-1]])
@@ -110,7 +113,8 @@ def labelled(s: np.ndarray) -> np.ndarray:
     at = np.arange(len(s))
     number = at - np.maximum.accumulate(np.where(same, 0, at))
     out = s.copy()
-    out[order] = mix(run + number.astype(np.uint64) * _constants()["repeat"])
+    again = number > 0
+    out[order[again]] = mix(run[again] + number[again].astype(np.uint64) * _constants()["repeat"])
     return out
 
 
@@ -142,15 +146,16 @@ def least_common(n: int, m: int, similarity: float = SIMILARITY) -> int:
 def aligned(a: np.ndarray, b: np.ndarray, need: int) -> int:
     """The length of the longest common subsequence, if it reaches ``need``; else something below ``need``.
 
-    Common ends are cut off. The rest is aligned bit-parallel: bit i of a number
-    tells whether the best alignment of what was read of b grows at a[i]. An
-    alignment that reaches ``need`` leaves out at most n + m - 2 * need elements,
-    and so never pairs places that lie further apart than that: the band.
+    Common ends are cut off. The rest is aligned bit-parallel: a bit for a place
+    of a tells whether the best alignment of what was read of b grows there. An
+    alignment that reaches ``need`` leaves out at most len(a) - need and len(b) -
+    need elements, so that at a place of b only the places of a in a band around
+    it matter; the state is the bits of that band, which moves along.
     """
     n, m = len(a), len(b)
     if need > min(n, m):
         return 0
-    band = n + m - 2 * need
+    below, above = m - need, n - need
     k = min(n, m)
     differ = np.flatnonzero(a[:k] != b[:k])
     head = int(differ[0]) if len(differ) else k
@@ -162,21 +167,35 @@ def aligned(a: np.ndarray, b: np.ndarray, need: int) -> int:
     ends = head + tail
     if not len(a) or not len(b):
         return ends
-    if ends + min(int(np.isin(a, b).sum()), int(np.isin(b, a).sum())) < need:
+    shared = np.isin(b, a)
+    if ends + min(int(np.isin(a, b).sum()), int(shared.sum())) < need:
         return 0
-    places: dict[int, int] = {}
+    places: dict[int, list[int]] = {}
     for i, x in enumerate(a.tolist()):
-        places[x] = places.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    near = (1 << 2 * band + 1) - 1
-    state = full
-    for j, x in enumerate(b.tolist()):
-        hit = places.get(x)
-        if hit:
-            hit &= near << j - band if j >= band else near >> band - j
-            grown = state & hit
-            state = (state + grown | state - grown) & full
-    return ends + len(a) - state.bit_count()
+        places.setdefault(x, []).append(i)
+    width = below + above + 1
+    full = (1 << width) - 1
+    state, low, grown = full, -below, 0  # bit i of the state stands for place low + i of a
+    at = np.flatnonzero(shared)
+    for j, x in zip(at.tolist(), b[at].tolist(), strict=True):
+        own = places[x]
+        first = j - below
+        if len(own) > 1:
+            own = own[bisect_left(own, first) : bisect_right(own, j + above)]
+        hit = 0
+        for i in own:
+            if first <= i <= j + above:
+                hit |= 1 << (i - first)
+        if not hit:
+            continue
+        step, low = first - low, first
+        if step:  # the band moves along; what leaves it is settled
+            gone = min(step, width)
+            grown += gone - (state & ((1 << gone) - 1)).bit_count()
+            state = state >> gone | ((1 << gone) - 1) << (width - gone)
+        new = state & hit
+        state = (state + new | state - new) & full
+    return ends + grown + width - state.bit_count()
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
@@ -184,98 +203,116 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return aligned(a, b, need) >= max(1, need)
 
 
-def _sketch(batches):
-    names = ["k", "whole", "sketch"]
+def _words(batches):
+    """(id, text) batches to lists of ids and of word hashes, some rows at a time; texts without a word are left out."""
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for i in range(0, len(ids), 1000):
-            ks, wholes, rows = [], [], []
-            for k, words in zip(ids[i : i + 1000], word_hashes(texts[i : i + 1000]), strict=True):
-                if len(words):
-                    ks.append(k)
-                    wholes.append(whole_hash(words))
-                    rows.append(sketches(shingles(words)))
-            flat = pa.array(np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, SKETCHES * len(rows) + 1, SKETCHES, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(wholes, pa.binary()), lists], names)
-
-
-def _verify(similarity: float):
-    def run(batches):
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for i in range(0, len(a), 1000):
-                good = [k for k, x, y in zip(range(i, len(a)), word_hashes(left[i : i + 1000]), word_hashes(right[i : i + 1000]), strict=False) if similar(shingles(x), shingles(y), similarity)]
-                yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in good], pa.int64()), pa.array([b[k] for k in good], pa.int64())], ["a", "b"])
+        for i in range(0, batch.num_rows, 1000):
+            part = batch.slice(i, 1000)
+            rows = [(k, w) for k, w in zip(part.column(0).to_pylist(), word_hashes(part.column(1).to_pylist()), strict=True) if len(w)]
+            yield [k for k, _ in rows], [w for _, w in rows]
 
-    return run
+
+def _sketch(batches):
+    for ks, words in _words(batches):
+        seqs = [shingles(w) for w in words]
+        flat = pa.array(np.concatenate([sketches(s) for s in seqs]).view(np.int64) if seqs else np.zeros(0, np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, SKETCHES * len(seqs) + 1, SKETCHES, dtype=np.int32)), flat)
+        yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(map(whole_hash, words), pa.binary()), pa.array(map(len, seqs), pa.int64()), lists], ["k", "whole", "n", "sketch"])
 
 
-def _likely(seqs: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float):
-    """For each of ``left``, the places in ``right`` that have enough shingles in common with it, in whatever order, and how many."""
-    size = np.array([len(s) for s in seqs])
-    at = np.unique(np.concatenate([labelled(s) for s in seqs]), return_inverse=True)[1]
-    often = np.bincount(at) > 1
-    name = np.cumsum(often) - 1
-    parts = [name[x[often[x]]] for x in np.split(at, np.cumsum(size)[:-1])]
-    flat = np.concatenate([parts[j] for j in right])
-    ends = np.cumsum([len(parts[j]) for j in right])
-    mark = np.zeros(int(often.sum()), bool)
-    for i in left.tolist():
-        mark[parts[i]] = True
-        upto = np.concatenate([[0], np.cumsum(mark[flat])])[np.concatenate([[0], ends])]
-        mark[parts[i]] = False
-        shared = np.diff(upto)
-        need = np.ceil(similarity * (size[i] + size[right]) / (1 + similarity) - 1e-9)
-        yield i, right[shared >= np.maximum(1, need)], shared[shared >= np.maximum(1, need)]
-
-
-def _cell(ids: list[int], roots: np.ndarray, seqs: list[np.ndarray], sketch: np.ndarray, place: int, block: np.ndarray, across: bool, similarity: float):
-    """Links between texts of different components that meet in this cell first and don't hang together over links found here."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
+def _sequences(batches):
+    for ks, words in _words(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(map(whole_hash, words), pa.binary()), pa.array([shingles(w).tobytes() for w in words], pa.binary())], ["whole", "seq"])
+
+
+def in_common(seqs: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many labelled shingles each text of ``left`` shares with each of ``right`` (places in ``seqs``).
+
+    Shingles of few texts are counted pair by pair, others by a matrix product.
+    """
+    n = len(seqs)
+    row = np.repeat(np.arange(n), [len(s) for s in seqs])
+    name, often = np.unique(np.concatenate([labelled(s) for s in seqs]), return_inverse=True, return_counts=True)[1:]
+    keep = often[name] > 1
+    name, row = name[keep], row[keep]
+    order = np.argsort(name, kind="stable")
+    name, row = name[order], row[order]
+    rare = often[name] <= RARE
+    out = np.zeros(n * n, np.float32)
+    pairs = []
+    few, own = name[rare], row[rare]
+    for step in range(1, min(RARE, len(few))):
+        same = np.flatnonzero(few[step:] == few[:-step])
+        if not len(same):
+            break
+        pairs.append(own[same] * n + own[same + step])
+    if pairs:
+        at, times = np.unique(np.concatenate(pairs), return_counts=True)
+        out[at] = times
+    out = out.reshape(n, n)
+    out = (out + out.T)[np.ix_(left, right)]
+    name, row = np.unique(name[~rare], return_inverse=True)[1], row[~rare]
+    cuts = np.searchsorted(name, np.arange(0, (int(name[-1]) if len(name) else -1) + 1 + COLUMNS, COLUMNS))
+    for c, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        held = np.zeros((n, COLUMNS), np.float32)
+        held[row[s:e], name[s:e] - c * COLUMNS] = 1
+        out += held[left] @ held[right].T
+    return out
+
+
+#: A shingle of more texts is counted by a matrix product, of so many shingles at a time.
+RARE, COLUMNS = 16, 2048
 
+
+def _cell(ids: list[int], roots: np.ndarray, seqs: list[np.ndarray], sketch: np.ndarray, compared: np.ndarray, place: int, block: np.ndarray, across: bool, similarity: float):
+    """Links between texts of a cell that don't hang together yet, over ``roots`` or over links found here.
+
+    Pairs that share a sketch before ``place`` are left out if its bit is set in ``compared``.
+    """
     every = np.arange(len(ids))
     left, right = (every[block == block.min()], every[block != block.min()]) if across else (every, every)
     if not len(left) or not len(right):
         return
-    if len(left) * len(right) <= 64:
-        likely = ((i, right, np.zeros(len(right))) for i in left.tolist())
+    size = np.array([len(s) for s in seqs])
+    label = np.unique(roots, return_inverse=True)[1]
+    if len(ids) > 2:
+        shared = in_common(seqs, left, right)
+        need = np.ceil(similarity * (size[left][:, None] + size[right][None, :]) / (1 + similarity) - 1e-9)
+        likely = shared >= np.maximum(need, 1)
     else:
-        likely = _likely(seqs, left, right, similarity)
-    pairs = []
-    for i, js, shared in likely:
-        good = (roots[js] != roots[i]) & ~(sketch[js, :place] == sketch[i, :place]).any(1)
-        if not across:
-            good &= js > i
-        pairs += [(-c, i, j) for c, j in zip(shared[good].tolist(), js[good].tolist(), strict=True)]
-    for _, i, j in sorted(pairs):
-        a, b = find(int(roots[i])), find(int(roots[j]))
-        if a != b and similar(seqs[i], seqs[j], similarity):
-            parent[a] = b
-            yield ids[i], ids[j]
+        shared, likely = np.zeros((len(left), len(right)), np.float32), np.ones((len(left), len(right)), bool)
+    likely &= label[left][:, None] != label[right][None, :]
+    if not across:
+        likely &= left[:, None] < right[None, :]
+    if not likely.any():
+        return
+    for q in range(place):
+        bit = (compared[left] >> q & 1 == 1)[:, None]
+        likely &= ~((sketch[left, q][:, None] == sketch[right, q][None, :]) & bit)
+    for at, i in enumerate(left.tolist()):
+        js = np.flatnonzero(likely[at])
+        js = js[label[right[js]] != label[i]]
+        for j in right[js[np.argsort(-shared[at, js], kind="stable")]].tolist():
+            if label[j] != label[i] and similar(seqs[i], seqs[j], similarity):
+                label[label == label[j]] = label[i]
+                yield ids[i], ids[j]
 
 
 def _compare(similarity: float):
-    """Cells in order (k, root, place, block, gi, gj, bucket, sketch, text) to links."""
+    """Cells in order (k, root, place, bucket, block, gi, gj, sketch, compared, seq) to links."""
 
     def work(rows: pa.Table):
         col = {c: rows.column(c).combine_chunks() for c in rows.column_names}
         ids, roots = col["k"].to_pylist(), np.asarray(col["root"])
-        place, block, gi, gj, bucket = (np.asarray(col[c]) for c in ("place", "block", "gi", "gj", "bucket"))
+        place, block, gi, gj, bucket, compared = (np.asarray(col[c]) for c in ("place", "block", "gi", "gj", "bucket", "compared"))
         sketch = np.asarray(col["sketch"].flatten()).reshape(len(ids), SKETCHES)
-        seqs = [shingles(w) for w in word_hashes(col["text"].to_pylist())]
+        seqs = [np.frombuffer(x.as_buffer(), np.uint64) for x in col["seq"]]
         change = (bucket[1:] != bucket[:-1]) | (place[1:] != place[:-1]) | (gi[1:] != gi[:-1]) | (gj[1:] != gj[:-1])
         start = np.concatenate([[0], np.flatnonzero(change) + 1, [len(ids)]]).tolist()
         found = []
         for s, e in zip(start[:-1], start[1:], strict=True):
             if e - s > 1:
-                found += _cell(ids[s:e], roots[s:e], seqs[s:e], sketch[s:e], int(place[s]), block[s:e], bool(gi[s] != gj[s]), similarity)
+                found += _cell(ids[s:e], roots[s:e], seqs[s:e], sketch[s:e], compared[s:e], int(place[s]), block[s:e], bool(gi[s] != gj[s]), similarity)
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     def run(batches):
@@ -301,30 +338,40 @@ def _compare(similarity: float):
     return run
 
 
-def _rest(met: DataFrame, root: DataFrame, sketched: DataFrame, near: DataFrame, similarity: float, space: Workspace) -> DataFrame | None:
-    """Links across components of all pairs that share a sketch, from (k, place, bucket) in ``met``; None if no bucket holds several components.
+_CELL = ["place", "bucket", "gi", "gj"]
+
+
+def _links(cells: DataFrame, full: DataFrame, compared: str, similarity: float) -> DataFrame:
+    """Links of cells (whole, root, place, bucket, block, gi, gj, lead); a missing root is the text itself."""
+    rows = cells.join(full, "whole")
+    rows = rows.select("k", F.coalesce("root", "k").alias("root"), "place", "bucket", "block", "gi", "gj", "lead", "sketch", F.col(compared).alias("compared"), "seq")
+    dealt = rows.repartition(shuffle_width(cells.sparkSession), *_CELL).sortWithinPartitions(*_CELL, "lead").drop("lead")
+    return dealt.mapInArrow(tidy(_compare(similarity)), "a long, b long")
 
-    In each bucket the largest component is left out of comparison with itself:
-    its blocks meet those of the others, and these meet each other.
+
+def _blocks(texts: str, words: str):
+    return F.greatest(F.ceil(F.col(texts) / BLOCK), F.ceil(F.col(words) / BLOCK_SHINGLES)).cast("int")
+
+
+def _across(met: DataFrame, wide: DataFrame, root: DataFrame, space: Workspace) -> DataFrame | None:
+    """Cells of the pairs across components in buckets of several blocks; None if there are none.
+
+    In each bucket the component of most texts is left out of comparison with
+    itself: its blocks meet those of the others, and these meet each other.
     """
-    at = met.where(F.col("place") < SKETCHES).join(root.toDF("k", "root"), "k", "left").select("k", "place", "bucket", F.coalesce("root", "k").alias("root"))
-    at = space.keep(at, "rest-at")
-    shares = at.groupBy("place", "bucket", "root").agg(F.count("*").alias("n"))
-    most = shares.groupBy("place", "bucket").agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("most")).where("roots > 1")
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    most = most.select("place", "bucket", F.col("most.root").alias("main"), blocks(F.col("most.n")).alias("p"), blocks(F.col("n") - F.col("most.n")).alias("q"))
-    most = space.keep(most, "rest-open")
+    at = met.join(wide.select("place", "bucket"), ["place", "bucket"]).join(root.toDF("k", "root"), "k", "left")
+    at = space.keep(at.select("whole", "n", "place", "bucket", F.coalesce("root", "k").alias("root")), "wide")
+    shares = at.groupBy("place", "bucket", "root").agg(F.count("*").alias("texts"), F.sum("n").alias("words"))
+    most = shares.groupBy("place", "bucket").agg(F.sum("texts").alias("texts"), F.sum("words").alias("words"), F.count("*").alias("roots"), F.max(F.struct("texts", "words", "root")).alias("most")).where("roots > 1")
+    most = most.select("place", "bucket", "most.root", *[F.col(f"most.{c}").alias(c) for c in ("texts", "words")], *[(F.col(c) - F.col(f"most.{c}")).alias(f"rest_{c}") for c in ("texts", "words")])
+    most = space.keep(most.select("place", "bucket", F.col("root").alias("main"), _blocks("texts", "words").alias("p"), _blocks("rest_texts", "rest_words").alias("q")), "open-wide")
     if most.isEmpty():
         return None
-    own, draw = F.col("root") == F.col("main"), F.xxhash64("k", "place")
+    own, draw = F.col("root") == F.col("main"), F.xxhash64("whole", "place")
     block = F.when(own, F.pmod(draw, F.col("p"))).otherwise(F.col("p") + F.pmod(draw, F.col("q"))).cast("int")
     cells = at.join(most, ["place", "bucket"]).withColumn("block", block)
     cells = cells.withColumn("other", F.explode(F.sequence(F.when(own, F.col("p")).otherwise(F.lit(0)), F.col("p") + F.col("q") - 1)))
-    cells = cells.select("k", "root", "place", "bucket", "block", F.least("block", "other").alias("gi"), F.greatest("block", "other").alias("gj"))
-    full = near.join(sketched.where(F.col("sketch").isNotNull()).select("k", "sketch"), "k")
-    by = ["place", "bucket", "gi", "gj"]
-    dealt = cells.join(full, "k").select("k", "root", "place", "block", "gi", "gj", "bucket", "sketch", "text").repartition(shuffle_width(met.sparkSession), *by).sortWithinPartitions(*by)
-    return space.keep(dealt.mapInArrow(tidy(_compare(similarity)), "a long, b long"), "links-rest")
+    return cells.select("whole", "root", "place", "bucket", "block", F.least("block", "other").alias("gi"), F.greatest("block", "other").alias("gj"), F.lit(0).alias("lead"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -335,51 +382,58 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (null, empty, blank), are not in the result: nothing is a copy of them. Rows
     that share an id are one document.
     """
-    spark = docs.sparkSession
-    space = Workspace(spark, "near")
+    space = Workspace(docs.sparkSession, "near")
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("text"))
-    sketched = space.keep(texts.mapInArrow(tidy(_sketch), "k long, whole binary, sketch array<long>"), "sketches")
+    sketched = space.keep(texts.mapInArrow(tidy(_sketch), "k long, whole binary, n long, sketch array<long>"), "sketches")
     copies = space.keep(sketched.groupBy("whole").agg(F.min("k").alias("rep")), "whole")
-    members = space.keep(sketched.join(copies, "whole").select("k", "rep", F.when(F.col("k") == F.col("rep"), F.col("sketch")).alias("sketch")), "members")
-
-    # A bucket is a sketch by its number, or two sketches in a row. From here on only documents that share one are looked at.
-    number = F.sequence(F.lit(0), F.lit(SKETCHES - 1))
-    one = F.transform(number, lambda j: F.xxhash64(j, F.get("sketch", j)))
-    two = F.transform(number, lambda j: F.xxhash64(j, F.get("sketch", j), F.get("sketch", F.pmod(j + 1, F.lit(SKETCHES)))))
-    rows = space.keep(members.where(F.col("sketch").isNotNull()).select("k", F.posexplode(F.concat(one, two)).alias("place", "bucket")).distinct(), "buckets")
-    sizes = space.keep(rows.groupBy("place", "bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    met = space.keep(rows.join(sizes, ["place", "bucket"]), "met")
-    score = space.keep(met.groupBy("k").agg(F.sum("n").alias("score")), "scores")
-    met = space.keep(met.select("k", "place", "bucket").join(score, "k"), "scored")
-    space.drop("buckets", "sizes", "met")
-    near = space.keep(texts.join(score, "k", "left_semi"), "texts")
 
+    # From here on one row for each distinct text, and only texts that share a sketch with another one.
+    own = sketched.join(copies.withColumnRenamed("rep", "k"), ["whole", "k"], "left_semi").distinct()
+    rows = space.keep(own.select("whole", "k", "n", F.posexplode("sketch").alias("place", "bucket")), "buckets")
+    sizes = rows.groupBy("place", "bucket").agg(F.count("*").alias("texts"), F.sum("n").alias("words")).where("texts > 1")
+    met = space.keep(rows.join(sizes, ["place", "bucket"]), "met")
+    at = lambda q, c: F.max(F.when(F.col("place") == q, F.col(c)))
+    every = range(SKETCHES)
+    shared = met.groupBy("whole", "k").agg(F.sum("texts").alias("score"), *[at(q, "bucket").alias(f"s{q}") for q in every], *[F.coalesce(at(q, "texts"), F.lit(0)).alias(f"t{q}") for q in every])
+    shared = space.keep(shared, "shared")
+
+    # A bucket is left out if all of its texts are in one other bucket together: a larger one, or the same texts at an earlier place.
+    both = met.join(shared.drop("k"), "whole")
+    facts = [F.max("texts").alias("texts"), F.max("words").alias("words"), F.max(F.struct("score", "whole")).getField("whole").alias("leader")]
+    facts += [((F.min(f"s{q}") == F.max(f"s{q}")) & ((F.min(f"t{q}") > F.max("texts")) | (F.min(f"t{q}") == F.max("texts")) & (F.lit(q) < F.max("place")))).alias(f"in{q}") for q in every]
+    open_ = both.groupBy("place", "bucket").agg(*facts)
+    kept = ~reduce(lambda a, b: a | b, [F.coalesce(F.col(f"in{q}"), F.lit(False)) for q in every])
+    open_ = space.keep(open_.where(kept).select("place", "bucket", "leader", _blocks("texts", "words").alias("blocks")), "open")
+
+    met = met.join(open_, ["place", "bucket"]).select("whole", "k", "n", "place", "bucket", "blocks", "leader")
+    met = space.keep(met, "met-open")
+    bit = F.expr("shiftleft(1, place)")
+    bits = met.groupBy("whole").agg(F.sum(bit).alias("open"), F.sum(F.when(F.col("blocks") == 1, bit).otherwise(0)).alias("single"))
+    sketch = sketched.join(copies.withColumnRenamed("rep", "k"), ["whole", "k"], "left_semi").select("whole", "k", "sketch").distinct()
+    near = texts.join(bits.join(copies, "whole").select(F.col("rep").alias("k")), "k", "left_semi")
+    near = near.mapInArrow(tidy(_sequences), "whole binary, seq binary").dropDuplicates(["whole"])
+    full = space.keep(near.join(bits, "whole").join(sketch, "whole"), "full")
+    space.drop("buckets", "met", "shared")
+
+    block = F.pmod(F.xxhash64("whole", "place"), F.col("blocks")).cast("int")
+    inner = met.select("whole", F.lit(None).cast("long").alias("root"), "place", "bucket", block.alias("block"), block.alias("gi"), block.alias("gj"), F.lit(1).alias("lead"))
+    wide = open_.where("blocks > 1")
+    leads = wide.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    leads = leads.where(F.pmod(F.xxhash64("leader", "place"), F.col("blocks")) != F.col("block"))
+    leads = leads.select(F.col("leader").alias("whole"), F.lit(None).cast("long").alias("root"), "place", "bucket", "block", F.col("block").alias("gi"), F.col("block").alias("gj"), F.lit(0).alias("lead"))
+    links = _links(inner.unionByName(leads), full, "single", similarity)
     # Rows of one id with different texts hold together.
-    links = members.groupBy("k").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
-    links = space.keep(links, "links-0")
-    root = components(links, space, "components-0")
-    done = None
-    for r in range(ROUNDS):
-        # The document whose sketches most others share leads first; then any, drawn anew for each bucket.
-        order = F.struct("score", -F.col("k"), "k") if r == 0 else F.struct(F.xxhash64("k", "bucket", F.lit(r)), "k")
-        lead = space.keep(met.groupBy("bucket").agg(F.max(order).getField("k").alias("a")), f"lead-{r}")
-        pairs = met.join(lead, "bucket").where("k <> a").select(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = pairs.join(root.toDF("a", "ra"), "a", "left").join(root.toDF("b", "rb"), "b", "left")
-        pairs = space.keep(pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), f"pairs-{r}")
-        left = pairs.join(near.select(F.col("k").alias("a"), F.col("text").alias("left")), "a")
-        both = left.join(near.select(F.col("k").alias("b"), F.col("text").alias("right")), "b").select("a", "b", "left", "right")
-        found = space.keep(both.mapInArrow(tidy(_verify(similarity)), "a long, b long"), f"links-{r + 1}")
-        done = pairs if done is None else done.unionByName(pairs)
-        if found.isEmpty():
-            continue
-        root = components(root.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(found), space, f"components-{r + 1}")
-    found = _rest(met, root, members, near, similarity, space)
-    if found is not None and not found.isEmpty():
-        root = components(root.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(found), space, "components-rest")
-    out = members.select("k", "rep").join(root, F.col("rep") == F.col("id"), "left").select("k", F.coalesce("root", "rep").alias("class"))
-    return out.groupBy("k").agg(F.min("class").alias("class"))
+    same = sketched.join(copies, "whole").groupBy("k").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
+    root = components(space.keep(links.unionByName(same), "links"), space)
+    if not wide.isEmpty():
+        cells = _across(met, wide, root, space)
+        if cells is not None:
+            found = space.keep(_links(cells, full, "open", similarity), "links-across")
+            if not found.isEmpty():
+                root = components(root.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(found), space, "components-across")
+    space.drop("met-open", "open", "wide", "open-wide", "full", "links", "links-across")
+    classes = copies.join(root.withColumnRenamed("id", "rep"), "rep", "left").select("whole", F.coalesce("root", "rep").alias("class"))
+    return sketched.join(classes, "whole").groupBy("k").agg(F.min("class").alias("class"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
