@@ -399,9 +399,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # A bucket is left out if all of its texts are in one other bucket together: a larger one, or the same texts at an earlier place.
     both = met.join(shared.drop("k"), "whole")
-    facts = [F.max("texts").alias("texts"), F.max("words").alias("words"), F.max(F.struct("score", "whole")).getField("whole").alias("leader")]
-    facts += [((F.min(f"s{q}") == F.max(f"s{q}")) & ((F.min(f"t{q}") > F.max("texts")) | (F.min(f"t{q}") == F.max("texts")) & (F.lit(q) < F.max("place")))).alias(f"in{q}") for q in every]
-    open_ = both.groupBy("place", "bucket").agg(*facts)
+    about = [F.max("texts").alias("texts"), F.max("words").alias("words"), F.max(F.struct("score", "whole")).getField("whole").alias("leader")]
+    about += [((F.min(f"s{q}") == F.max(f"s{q}")) & ((F.min(f"t{q}") > F.max("texts")) | (F.min(f"t{q}") == F.max("texts")) & (F.lit(q) < F.max("place")))).alias(f"in{q}") for q in every]
+    open_ = both.groupBy("place", "bucket").agg(*about)
     kept = ~reduce(lambda a, b: a | b, [F.coalesce(F.col(f"in{q}"), F.lit(False)) for q in every])
     open_ = space.keep(open_.where(kept).select("place", "bucket", "leader", _blocks("texts", "words").alias("blocks")), "open")
 
@@ -409,11 +409,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = space.keep(met, "met-open")
     bit = F.expr("shiftleft(1, place)")
     bits = met.groupBy("whole").agg(F.sum(bit).alias("open"), F.sum(F.when(F.col("blocks") == 1, bit).otherwise(0)).alias("single"))
-    sketch = sketched.join(copies.withColumnRenamed("rep", "k"), ["whole", "k"], "left_semi").select("whole", "k", "sketch").distinct()
-    near = texts.join(bits.join(copies, "whole").select(F.col("rep").alias("k")), "k", "left_semi")
+    facts = space.keep(shared.select("whole", "k", F.array(*[F.coalesce(f"s{q}", F.lit(0)) for q in every]).alias("sketch")).join(bits, "whole"), "facts")
+    # Texts are dealt out by id at any size: a broadcast of ids would have no bound.
+    near = texts.join(facts.select("k").hint("shuffle_hash"), "k", "left_semi")
     near = near.mapInArrow(tidy(_sequences), "whole binary, seq binary").dropDuplicates(["whole"])
-    full = space.keep(near.join(bits, "whole").join(sketch, "whole"), "full")
-    space.drop("buckets", "met", "shared")
+    full = space.keep(near.join(facts, "whole"), "full")
+    space.drop("buckets", "met", "shared", "facts")
 
     block = F.pmod(F.xxhash64("whole", "place"), F.col("blocks")).cast("int")
     inner = met.select("whole", F.lit(None).cast("long").alias("root"), "place", "bucket", block.alias("block"), block.alias("gi"), block.alias("gj"), F.lit(1).alias("lead"))
@@ -423,7 +424,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     leads = leads.select(F.col("leader").alias("whole"), F.lit(None).cast("long").alias("root"), "place", "bucket", "block", F.col("block").alias("gi"), F.col("block").alias("gj"), F.lit(0).alias("lead"))
     links = _links(inner.unionByName(leads), full, "single", similarity)
     # Rows of one id with different texts hold together.
-    same = sketched.join(copies, "whole").groupBy("k").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
+    several = sketched.groupBy("k").agg(F.min(F.xxhash64("whole")).alias("low"), F.max(F.xxhash64("whole")).alias("high")).where("low < high").select("k")
+    same = sketched.join(several, "k").join(copies, "whole").groupBy("k").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
     root = components(space.keep(links.unionByName(same), "links"), space)
     if not wide.isEmpty():
         cells = _across(met, wide, root, space)
