@@ -189,6 +189,177 @@ def test_definition_errors(make, code):
     assert e.value.code == code
 
 
+def test_one_append_is_merged_too(store):
+    u = store.create(define_upsert("one", {"ts": "delta", "host": "raw", "value": "auto"}, ["host"], "ts"))
+    u.append([{"ts": 1, "host": "a", "value": 1}, {"ts": 2, "host": "a", "value": 2}, {"ts": 1, "host": "b", "value": 3}])
+    assert u.logical_rows() == 2
+    assert u.compact() == {"merged": 1, "rows_before": 3, "rows_after": 2, "collapsed": 1} and u.compact()["merged"] == 0
+    assert u.logical_rows() == 2 and {(r.host, r.value) for r in u.all_rows().collect()} == {("a", 2), ("b", 3)}
+    log = store.create(define_log("plainlog", METRIC))
+    log.append([{"ts": 1, "value": 1, "host": "a"}])
+    assert log.compact()["merged"] == 0 and log.logical_rows() == 1
+
+
+def test_rollup_by_functions_of_its_own_loses_nothing(store):
+    t = store.create(define_log("own", METRIC, retention="5s:1d,1m:1mon", agg={"value": "avg"}, dims=["host"], auto_rollup=False, auto_purge=False))
+    old = NOW - 2 * DAY
+    t.append([{"ts": old + k * 1000, "host": "ab"[k % 2], "value": k} for k in range(10)])
+    assert t.rollup_one("1m", agg={"value": ["max", "last"]})["rolled_rows"] == 10
+    got = {r.host: (r.value, r.value_sum, r.value_count, r.value_max, r.value_last, r.value_last_ts) for r in t.tier(1).collect()}
+    assert got == {"a": (None, 20, 5, 8, 8, old + 8000), "b": (None, 25, 5, 9, 9, old + 9000)}
+    t = store.open("own")  # the functions are in the table's definition now
+    assert set(t.rollup_columns("value")) == {"value_avg", "value_max", "value_last", "value_last_ts", "value_sum", "value_count"}
+    assert t.aggregate(old, NOW, [("value", "max"), ("value", "avg")]).first() == (9, 4.5)
+    t.append([{"ts": old + 500, "host": "a", "value": 100}])
+    t.rollup()
+    t.compact()
+    assert {r.host: (r.value_max, r.value_last, r.value_count) for r in t.tier(1).collect()} == {"a": (100, 8, 6), "b": (9, 9, 5)}
+    t.append([{"ts": old + 60_000, "host": "a", "value": 7}])
+    t.rollup_one("1m", agg={"value": "max"}, dims=["host"])
+    assert [(r.value, r.value_count) for r in t.tier(1).where(f"ts = {old + 60_000}").collect()] == [(7, 1)]
+    for bad, code in (({"agg": {"none": "max"}}, "DEF_AGG_FIELD"), ({"agg": {"value": "median"}}, "DEF_AGG_FN"), ({"dims": ["none"]}, "DEF_DIMS_FIELD")):
+        with pytest.raises(TidemarkError) as e:
+            t.rollup_one("1m", **bad)
+        assert e.value.code == code
+
+
+def folders(df):
+    return {f.rsplit("/", 2)[1] for f in df.inputFiles()}
+
+
+def test_reads_open_only_what_the_range_touches(store):
+    t = store.create(define_log("pruned", METRIC))
+    for day in range(5):
+        t.append([{"ts": NOW + day * DAY + k, "host": "a", "value": k} for k in range(3)])
+    own = [g.path.rsplit("/", 1)[1] for g in t.generations()]
+    assert folders(t.scan(NOW + DAY, NOW + 2 * DAY)) == set(own[1:3])
+    assert folders(t.timeline("1d", NOW + 3 * DAY, NOW + 4 * DAY)) >= {own[3]} and own[0] not in folders(t.timeline("1d", NOW + 3 * DAY, NOW + 4 * DAY))
+    assert folders(t.downsample(NOW, NOW + 10, "1m", "value", ["sum"])) == {own[0]} and folders(t.percentile(NOW, NOW + 10, [0.5])) == {own[0]}
+    assert folders(t.all_rows()) == set(own) and t.scan(NOW - 9, NOW - 5).count() == 0
+    tiered = store.create(define_log("pruned2", METRIC, retention="1s:10d,1m:1mon", agg={"value": "avg"}, auto_rollup=False, auto_purge=False))
+    for day in (3, 2, 1):
+        tiered.append([{"ts": NOW - day * DAY, "host": "a", "value": 1}])
+    own = [g.path.rsplit("/", 1)[1] for g in tiered.generations()]
+    assert folders(tiered.scan(NOW - 2 * DAY, NOW - 2 * DAY + 5)) == {own[1]}
+
+
+def pushed(df):
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in text.split("PushedFilters")[1:]]
+
+
+def test_old_rows_are_looked_for_by_time(store, monkeypatch):
+    t = store.create(define_log("cut", METRIC, retention="5s:1d,1m:1mon", agg={"value": "avg"}, dims=["host"], auto_rollup=False, auto_purge=False))
+    old = NOW - 2 * DAY
+    t.append([{"ts": old + k, "host": "a", "value": k} for k in range(4)] + [{"ts": NOW, "host": "a", "value": 9}])
+    t.append([{"ts": NOW, "host": "b", "value": 1}])
+    read, seen = type(t)._read, []
+
+    def spying(self, own, tier):
+        seen.append([g.path for g in own])
+        return read(self, own, tier)
+
+    monkeypatch.setattr(type(t), "_read", spying)
+    late = t.generations()[1].path
+    t.rollup()
+    assert seen and all(late not in own for own in seen)
+    assert "LessThan(ts" in pushed(read(t, t.generations(), 0).where("ts < 5"))[0]
+    before = len(t.folder.names("cut/r60000"))
+    t.rollup()
+    t.rollup()
+    assert len(t.folder.names("cut/r60000")) == before
+    assert (t.tier(1).first().value_count, t.tier(0).count()) == (4, 2)
+
+
+def test_totals_of_whole_generations_are_known(store, spark):
+    t = store.create(define_log("known", {"ts": "delta", "value": "auto", "n": "raw bigint", "host": "raw"}))
+    t.append([{"ts": k, "value": float(k), "n": k} for k in range(10)])
+    t.append([{"ts": k, "value": None if k % 2 else 1.5, "n": 2} for k in range(100, 110)])
+    t.append([{"ts": 200, "value": float("nan"), "n": None}])
+    exprs = [(f, fn) for f in ("value", "n") for fn in ("count", "sum", "min", "max", "avg")]
+    whole = t.aggregate(0, 500, exprs)
+    assert not whole.inputFiles()
+    assert whole.first() == (15, 52.5, 0, 9, 3.5, 20, 65, 0, 9, 3.25)
+    part = t.aggregate(5, 500, exprs)
+    assert len(folders(part)) == 1 and part.first() == (10, 42.5, 1.5, 9, 4.25, 15, 55, 2, 9, pytest.approx(55 / 15))
+    assert t.aggregate(0, 500, [("value", "last")]).first() == (1.5,) and t.aggregate(0, 500, [("n", "max")], [("n", "lt", 9)]).first() == (8,)
+    assert t.aggregate(300, 500, [("n", "sum"), ("n", "count")]).first() == (None, 0) and t.aggregate(0, 500, [("host", "count")]).first() == (0,)
+    t.append([{"ts": 300, "value": 1.0, "n": (1 << 62)}, {"ts": 301, "value": 1.0, "n": (1 << 62)}])
+    assert t.aggregate(299, 500, [("n", "max")]).first() == (1 << 62,)
+
+
+def test_many_small_appends_leave_few_folders(store):
+    t = store.create(define_log("many", METRIC, compact_fanout=3))
+    u = store.create(define_upsert("manyu", METRIC, ["host"], "ts", compact_fanout=3))
+    for k in range(40):
+        t.append([{"ts": k, "host": f"h{k % 4}", "value": k}])
+    for k in range(12):
+        u.append([{"ts": k, "host": f"h{k % 4}", "value": k}])
+    assert len(t.generations()) <= 8 and [r.value for r in t.all_rows().collect()] == list(range(40))
+    assert len(u.generations()) <= 6 and {(r.host, r.value) for r in u.final().collect()} == {("h0", 8), ("h1", 9), ("h2", 10), ("h3", 11)}
+    kept = [n for n in t.folder.names("many/_manifest") if n.endswith(".json")]
+    assert len(kept) <= manifest.KEPT + manifest.CLEARED and t.manifest().commit > 50
+    assert t.vacuum() > 30 and t.all_rows().count() == 40
+
+
+def test_reverts_are_not_lost_in_small_merges(store):
+    c = store.create(define_collapsing("cs", {"id": "dictionary", "sign": "raw int", "ts": "delta", "v": "raw"}, ["id"], "sign", "ts", compact_fanout=2))
+    for sign, ts, v in ((1, 1, "a"), (1, 2, "b"), (-1, 3, "r"), (1, 4, "c")):
+        c.append([{"id": "x", "sign": sign, "ts": ts, "v": v}])
+    assert [r.v for r in sorted(c.final().collect(), key=lambda r: r.ts)] == ["b", "c"]
+    c.compact()
+    assert sorted(r.v for r in c.all_rows().collect()) == ["b", "c"]
+
+
+def test_an_append_that_met_another_is_committed_anew(store, monkeypatch):
+    t, other = store.create(define_log("race", METRIC)), store.open("race")
+    write = type(t)._write
+
+    def slow(self, *a, **k):
+        g = write(self, *a, **k)
+        monkeypatch.setattr(type(t), "_write", write)
+        other.append([{"ts": 1, "value": 1, "host": "other"}])
+        return g
+
+    monkeypatch.setattr(type(t), "_write", slow)
+    assert t.append([{"ts": 2, "value": 2, "host": "mine"}]) == 1
+    assert {r.host for r in t.all_rows().collect()} == {"other", "mine"}
+
+
+def test_the_write_order_has_no_bound(store, spark):
+    t = store.create(define_log("long", METRIC))
+    m = t.manifest()
+    m.commit = 50_000_000
+    manifest.save(t.folder, "long", m)
+    t.append([{"ts": 1, "value": 1}, {"ts": 2, "value": 2}])
+    t.append(spark.range(1).selectExpr("3L AS ts", "3D AS value"))
+    assert [r.ts for r in t.all_rows().collect()] == [1, 2, 3] and [r.ts for r in t.tail(2).collect()] == [2, 3]
+
+
+def test_files_of_about_so_many_bytes(store, spark):
+    t = store.create(define_log("sized", METRIC, bytes_per_file=20_000))
+    rows = spark.range(20_000).selectExpr("id AS ts", "rand(1) AS value", "'a' AS host").coalesce(1)
+    t.append(rows)
+    t.append(rows)
+    assert len(t.generation(t.generations()[0].path).inputFiles()) == 1 and len(t.generation(t.generations()[1].path).inputFiles()) > 4
+
+
+def test_bounded_batches_of_cluster_compaction(store):
+    t = store.create(define_log("batches", METRIC, cluster=["host"], compact_rows=25, compact_fanout=0))
+    for k in range(6):
+        t.append([{"ts": 100 * k + j, "host": f"h{j % 2}", "value": j} for j in range(10)])
+    before = rows(t.all_rows())
+    commits = t.manifest().commit
+    assert t.cluster_compact() == {"rewritten": 6} and len(t.generations()) == 3 and t.manifest().commit == commits + 3
+    assert rows(t.all_rows()) == before
+
+
+def test_close_all(store):
+    a, b = store.create(define_log("a", METRIC)), store.create(define_log("b", METRIC))
+    store.close_all()
+    assert not a.is_open and not b.is_open and store.open("a").is_open
+
+
 def test_looking_into_a_table(store):
     t = store.create(define_log("m", METRIC, retention="1s:1d"))
     t.append([{"ts": NOW - k, "host": f"h{k % 3}", "value": k} for k in range(9)])

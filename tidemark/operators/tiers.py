@@ -9,6 +9,7 @@ times between its own lifetime and that of the tier before.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,11 @@ def functions_of(fn: str | Sequence[str]) -> list[str]:
     return [fn] if isinstance(fn, str) else list(fn)
 
 
+def all_functions(agg: Mapping[str, str | Sequence[str]], extra: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
+    """The functions of each field in ``agg`` and then those that only ``extra`` names."""
+    return {f: list(dict.fromkeys([*functions_of(agg.get(f, ())), *extra.get(f, ())])) for f in [*agg, *(f for f in extra if f not in agg)]}
+
+
 def is_multi(fn: str | Sequence[str]) -> bool:
     """Whether a field's results are stored under names of their own; a single plain function also stands in the field itself."""
     return not isinstance(fn, str) or fn in ("last", "first")
@@ -66,28 +72,29 @@ def bucket_of(res_ms: int) -> Column:
     return F.col(TS) - F.col(TS) % F.lit(res_ms).cast("long")
 
 
-def promote(df: DataFrame, res_ms: int, dims: Sequence[str], agg: Mapping[str, str | Sequence[str]]) -> DataFrame:
+def promote(df: DataFrame, res_ms: int, dims: Sequence[str], agg: Mapping[str, str | Sequence[str]], extra: Mapping[str, Sequence[str]] = MappingProxyType({})) -> DataFrame:
     """Roll rows up to buckets of ``res_ms``; rows that are rolled up already are merged.
 
     Columns: ts (the bucket), the dimensions, and for each field its stored
     parts; a field with a single function other than last and first also has the
-    value under its own name. Over no numbers all are null. Rows without a ts are
-    left out.
+    value under its own name. ``extra`` names functions to be stored besides. Over
+    no numbers all are null. Rows without a ts are left out.
     """
     rows = df.where(F.col(TS).isNotNull())
     have = set(df.columns)
     keys = [F.col(f"`{d}`") if d in have else F.lit(None).cast("string").alias(d) for d in dims]
-    parts = {f: merged(rows, f) for f in agg}
+    stored = all_functions(agg, extra)
+    parts = {f: merged(rows, f) for f in stored}
     columns = [c.alias(f"_{p}_{f}") for f, own in parts.items() for p, c in own.items()]
     order = [F.min(SEQ).alias(SEQ)] if SEQ in have else []
     grouped = rows.groupBy(bucket_of(res_ms).alias("_bucket"), *keys).agg(*columns, *order)
     out = [F.col("_bucket").alias(TS), *[F.col(f"`{d}`") for d in dims]]
-    for f, fn in agg.items():
+    for f, fns in stored.items():
         n = F.col(f"`_count_{f}`")
         value = {p: F.when(n > 0, F.col(f"`_{p}_{f}`")) for p in PARTS} | {"avg": F.when(n > 0, F.col(f"`_sum_{f}`") / n)}
-        if not is_multi(fn):
-            out.append(value[functions_of(fn)[0]].alias(f))
-        for name in stored_columns(f, functions_of(fn)):
+        if f in agg and not is_multi(agg[f]):
+            out.append(value[agg[f]].alias(f))
+        for name in stored_columns(f, fns):
             out.append(value[name[len(f) + 1 :]].alias(name))
     return grouped.select(*out, *([SEQ] if order else []))
 

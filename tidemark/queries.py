@@ -300,6 +300,97 @@ def _rolled(s: SparkSession, d: str) -> DataFrame:
     return t.tier(1)
 
 
+_add("cluster_compacted", _changed(lambda t: t.cluster_compact(FROM - DAY, NOW), cluster=["event_type"]), f"{_E} {_ROWS}")
+
+
+def _rolled_one(s: SparkSession, d: str) -> DataFrame:
+    """A rollup by functions of its own beside those that are declared."""
+    t = _stored(s, d, retention="1h:1w, 1d:60d", agg={"value": ["avg"]}, dims=["event_type"])
+    t.rollup_one("1d", agg={"value": ["max", "last"]})
+    return rounded(t.tier(1).select("ts", "event_type", "value_sum", "value_count", "value_max", "value_last"), "value_sum")
+
+
+_add(
+    "rollup_one_custom",
+    _rolled_one,
+    f"{_E} SELECT ts - ts % {DAY} AS ts, event_type, round(sum(value), 6) AS value_sum, count(value) AS value_count, max(value) AS value_max, arg_max(value, (ts, _seq)) AS value_last FROM e WHERE ts < {CUT} GROUP BY ts - ts % {DAY}, event_type",
+)
+
+
+def _tiered(read: Callable) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        t = _stored(s, d, retention="1h:1w, 1d:60d", agg=_MULTI, dims=["event_type"])
+        t.rollup()
+        return read(t)
+
+    return run
+
+
+_add(
+    "tier_stored_aggregate",
+    _tiered(lambda t: rounded(t.aggregate(0, NOW, [("value", x) for x in ("min", "max", "sum", "avg", "count", "last", "first")]), "value_sum", "value_avg")),
+    SQL["tier_aggregate_multi"],
+)
+_add("tier_stored_tail", _tiered(lambda t: t.tail(15).select("ts", "event_type", "value")), f"{_E} SELECT ts, event_type, value FROM (SELECT * FROM e WHERE {_FINE_WHERE} ORDER BY ts DESC, _seq LIMIT 15)")
+_add("tier_stored_percentile", _tiered(lambda t: t.percentile(0, NOW, [0.5, 0.9])), f"{_E} SELECT quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.9) AS p90 FROM e WHERE {_FINE_WHERE}")
+
+# Totals of a stored table: the first append lies whole in the range and isn't read, of the second a part is.
+_TOTALS = [("value", x) for x in ("sum", "count", "min", "max", "avg")] + [("user_id", "max"), ("user_id", "sum")]
+_TOTALS_SQL = "round(sum(value), 6) AS value_sum, count(value) AS value_count, min(value) AS value_min, max(value) AS value_max, round(avg(value), 6) AS value_avg, max(user_id) AS user_id_max, CAST(sum(user_id) AS BIGINT) AS user_id_sum"
+_add("stored_aggregate_partly_known", lambda s, d: rounded(_stored(s, d).aggregate(0, TO, _TOTALS), "value_sum", "value_avg"), f"{_E} SELECT {_TOTALS_SQL} FROM e WHERE ts <= {TO}")
+_add("stored_aggregate_known", lambda s, d: rounded(_stored(s, d).aggregate(0, 2 * NOW, _TOTALS), "value_sum", "value_avg"), f"{_E} SELECT {_TOTALS_SQL} FROM e")
+
+
+def _stats(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame([(x["tier"], x["generations"], x["rows"], x["min_ts"], x["max_ts"]) for x in _stored(s, d).stats()], "tier long, generations long, n_rows long, min_ts long, max_ts long")
+
+
+_add("stored_stats", _stats, f"{_E} SELECT 0::BIGINT AS tier, 2::BIGINT AS generations, count(*) AS n_rows, min(ts) AS min_ts, max(ts) AS max_ts FROM e")
+
+
+def _taken_in(s: SparkSession, d: str) -> DataFrame:
+    """A folder of plain Parquet files opened as a table."""
+    from . import Store
+    from .sources.scratch import scratch
+
+    store, name = Store(s, scratch(s), lambda: NOW), f"found_{uuid.uuid4().hex}"
+    events(s, d).drop(SEQ).write.parquet(f"{store.folder.root}/{name}")
+    return store.open(name).all_rows().select("ts", "user_id", "event_type", "value")
+
+
+_add("open_plain_parquet", _taken_in, f"{_E} {_ROWS}")
+
+
+def _merged_once(define: Callable, rows: Callable) -> Query:
+    """A table filled by one append and then compacted."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        from . import Store
+        from .sources.scratch import scratch
+
+        df = rows(s, d)
+        t = Store(s, scratch(s), lambda: NOW).create(define(f"merged_{uuid.uuid4().hex}", {"ts": "delta"} | {c: f"raw {k}" for c, k in df.dtypes if c not in ("ts", SEQ)}))
+        t.append(df)
+        t.compact()
+        return t.tier().drop(SEQ)
+
+    return run
+
+
+def _definer(kind: str, *args) -> Callable:
+    def define(name: str, columns: dict):
+        from .sources import definitions
+
+        return getattr(definitions, f"define_{kind}")(name, columns, *args)
+
+    return define
+
+
+_add("compact_upsert", _merged_once(_definer("upsert", ["user_id", "event_type"], "ts"), events), SQL["engine_upsert"])
+_add("compact_summing", lambda s, d: rounded(_merged_once(_definer("summing", ["user_id"], ["value"], "ts"), events)(s, d).drop("props"), "value"), SQL["engine_summing"])
+_add("compact_collapsing", _merged_once(_definer("collapsing", ["user_id"], "sign", "ts"), _signed), SQL["engine_collapsing"])
+
+
 def _storage(s: SparkSession, d: str) -> DataFrame:
     t = _stored(s, d, storage=True)
     t.storage_apply()

@@ -13,7 +13,7 @@ from ..functions.retention import Tier, parse_retention
 from ..operators import SEQ, TS
 from ..operators.aggregates import ALL, stored_columns
 from ..operators.engines import Engine
-from ..operators.tiers import functions_of, is_multi
+from ..operators.tiers import all_functions, functions_of, is_multi
 
 DAY = 86_400_000
 
@@ -58,6 +58,13 @@ class Definition:
     auto_purge: bool = True
     maintenance_interval_ms: int = 600_000
     rows_per_file: int = 0
+    bytes_per_file: int = 0
+    #: So many generations of like size are merged into one after an append; 0 turns that off.
+    compact_fanout: int = 16
+    #: Generations of more rows are not merged on their own.
+    compact_rows: int = 5_000_000
+    #: Functions that coarse tiers store besides those of ``agg`` (see ``Table.rollup_one``).
+    extra: Mapping[str, Sequence[str]] = field(default_factory=dict)
 
     def hint(self, column: str) -> str:
         return self.columns[column].split()[0]
@@ -73,12 +80,12 @@ class Definition:
         """Of the stored rows, with the write order; coarse tiers have the stored parts too."""
         parts = [f"`{c}` {self.spark_type(c)}" for c in self.columns]
         if tier:
-            for f, fn in self.rolled().items():
+            for f, fns in all_functions(self.rolled(), self.extra).items():
                 kind = self.spark_type(f)
-                for c in stored_columns(f, functions_of(fn)):
+                for c in stored_columns(f, fns):
                     parts.append(f"`{c}` {'bigint' if c.endswith(('_count', '_ts')) else kind if not c.endswith(('_sum', '_avg')) else 'double'}")
             parts = [f"`{c}` double" if (c := p.split('`')[1]) in self.rolled() and not is_multi(self.rolled()[c]) else p for p in parts]
-        return T._parse_datatype_string(", ".join([*parts, f"`{SEQ}` bigint"]))
+        return T._parse_datatype_string(", ".join([*parts, f"`{SEQ}` decimal(38,0)"]))
 
     def rolled(self) -> dict[str, str | Sequence[str]]:
         """What is aggregated: as declared, or else sign and sum columns, or else the average of the first column."""

@@ -1,13 +1,19 @@
 """What a table consists of, as numbered JSON files of which the last one counts.
 
-A change writes new data first and then one new manifest. The file appears under
-its number by a rename that fails if the number is taken, so a change is seen
-whole or not at all, and of two writers one learns that it was late.
+A change writes new data first and then one new manifest, whole under another
+name, which then gets its number: by a hard link on local files, which fails if
+the number is taken, and by a rename elsewhere. HDFS and file systems like it
+rename as one step and not onto a file that is there, so that of two writers one
+learns that it was late. Object stores whose rename is a copy give no such
+promise: there a table may have one writer at a time only.
+
+A few of the last manifests stay for those who are reading them.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from dataclasses import dataclass, field
 
@@ -44,7 +50,17 @@ class Folder:
         out = self._fs.create(temporary)
         out.write(bytearray(text.encode()))
         out.close()
-        done = not self._fs.exists(self.at(name)) and self._fs.rename(temporary, self.at(name))
+        at = self.at(name)
+        if self._fs.getScheme() == "file":
+            local = lambda p: p.toUri().getPath()
+            try:
+                os.link(local(temporary), local(at))
+                done = True
+            except FileExistsError:
+                done = False
+            self._fs.delete(temporary, False)
+            return done
+        done = not self._fs.exists(at) and self._fs.rename(temporary, at)
         if not done:
             self._fs.delete(temporary, False)
         return done
@@ -68,6 +84,10 @@ class Generation:
     max_ts: int | None
     bytes: int = 0
     storage: str = ""
+    #: Whether the engine has merged all of its rows with each other.
+    merged: bool = False
+    #: Of each column of numbers: how many finite ones there are, their sum, smallest and largest.
+    facts: dict[str, list] = field(default_factory=dict)
 
 
 @dataclass
@@ -92,8 +112,16 @@ class Manifest:
 FOLDER = "_manifest"
 
 
+#: Manifests that are kept, and how many commits pass from one clearing to the next.
+KEPT, CLEARED = 32, 32
+
+
+def _numbered(folder: Folder, table: str) -> list[str]:
+    return [n for n in folder.names(f"{table}/{FOLDER}") if n.endswith(".json") and not n.startswith(".")]
+
+
 def load(folder: Folder, table: str) -> Manifest | None:
-    found = [n for n in folder.names(f"{table}/{FOLDER}") if n.endswith(".json") and not n.startswith(".")]
+    found = _numbered(folder, table)
     return Manifest.of(folder.read(f"{table}/{FOLDER}/{found[-1]}")) if found else None
 
 
@@ -102,3 +130,6 @@ def save(folder: Folder, table: str, m: Manifest) -> None:
     m.commit += 1
     if not folder.write_new(f"{table}/{FOLDER}/{m.commit:012d}.json", m.text()):
         raise TidemarkError("TBL_CONFLICT", "the table was changed by another writer meanwhile", commit=m.commit)
+    if m.commit % CLEARED == 0:
+        for n in _numbered(folder, table)[:-KEPT]:
+            folder.delete(f"{table}/{FOLDER}/{n}")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,7 @@ from .table import Table
 class Store:
     def __init__(self, spark: SparkSession, root: str, now: Callable[[], int] | None = None):
         self.spark, self.folder, self._now = spark, Folder(spark, root), now
+        self._opened: list[weakref.ref[Table]] = []
 
     def create(self, definition: Definition) -> Table:
         """The table of this definition. If it is there already it is opened, and columns that are new are added to it."""
@@ -27,7 +30,7 @@ class Store:
         else:
             old = Definition.from_json(m.definition)
             if list(definition.columns) != list(old.columns) and set(old.columns) <= set(definition.columns):
-                m.definition = definition.to_json()
+                m.definition = replace(definition, extra=old.extra).to_json()
                 manifest.save(self.folder, definition.name, m)
         return self.open(definition.name)
 
@@ -38,7 +41,16 @@ class Store:
             require(bool(found), "STO_TABLE_NOT_FOUND", "no such table", name=name)
             df = self.spark.read.parquet(f"{self.folder.root}/{name}")
             self.create(define_log(name, {c: f"auto {t}" for c, t in df.dtypes})).append(df)
-        return Table(self.spark, self.folder, name, self._now)
+        t = Table(self.spark, self.folder, name, self._now)
+        self._opened = [r for r in self._opened if r() is not None] + [weakref.ref(t)]
+        return t
+
+    def close_all(self) -> None:
+        """Close every table that this store has opened."""
+        for r in self._opened:
+            if (t := r()) is not None:
+                t.close()
+        self._opened = []
 
     def tables(self) -> list[str]:
         return [n for n in self.folder.names() if manifest.load(self.folder, n) is not None]

@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import json
+import random
 import re
 import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import replace
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import require
+from ..errors import TidemarkError, require
 from ..functions.interval import now_ms, period, resolve
 from ..functions.retention import Tier
 from ..operators import SEQ, TS, engines, series, tiers
-from ..operators.aggregates import level, per_field, percentiles, stored_columns, ALL
+from ..operators.aggregates import ALL, BASIC, level, number, per_field, percentiles, stored_columns
 from ..operators.predicates import all_of, conditions
 from ..operators.scan import Scan, scan
 from ..plans import sql as dialect
@@ -24,8 +26,10 @@ from . import manifest
 from .definitions import Definition, StorageTier, check_cluster
 from .manifest import Folder, Generation, Manifest
 
-# Bits of the write order: the commit, then the task's partition, then the row in it.
-PARTITION_BITS, ROW_BITS = 19, 24
+#: The write order is a whole number: the commit, a draw that tells writers of one commit number apart, and Spark's number of the row in the write.
+DRAWS, ROWS = 1 << 20, 1 << 63
+#: How often an append is committed anew when another writer was faster.
+RETRIES = 20
 
 
 class Table:
@@ -64,14 +68,28 @@ class Table:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.folder.root}/{g.path}" for g in generations])
 
-    def tier(self, i: int = 0) -> DataFrame:
-        """The rows of a tier as they are stored, with their write order."""
+    @staticmethod
+    def _overlapping(own: Sequence[Generation], start=None, end=None) -> list[Generation]:
+        """The generations that may hold rows of an inclusive time range; without bounds all."""
+        if start is None and end is None:
+            return list(own)
+        return [g for g in own if g.min_ts is not None and (start is None or g.max_ts >= start) and (end is None or g.min_ts <= end)]
+
+    def tier(self, i: int = 0, start=None, end=None) -> DataFrame:
+        """The rows of a tier as they are stored, with their write order; of a time range only the generations that it touches."""
         require(0 <= i < self.tier_count(), "TBL_JOURNAL_INDEX", "no such tier", index=i)
-        return self._read(self.manifest().tiers[i], i)
-
-    def frames(self) -> list[DataFrame]:
-        m = self.manifest()
-        return [self._read(m.tiers[i], i) for i in range(self.tier_count())]
+        return self._read(self._overlapping(self.manifest().tiers[i], start, end), i)
+
+    def frames(self, start=None, end=None) -> list[DataFrame]:
+        """The rows of all tiers; of a time range what each tier serves of it."""
+        m, now, out = self.manifest(), self.now(), []
+        for i in range(self.tier_count()):
+            own = m.tiers[i]
+            if start is not None or end is not None:
+                part = tiers.window(self.tiers, i, 0 if start is None else start, now if end is None else end, now)
+                own = [] if part is None else self._overlapping(own, *part)
+            out.append(self._read(own, i))
+        return out
 
     def tier_name(self, i: int = 0) -> str:
         require(0 <= i < self.tier_count(), "TBL_JOURNAL_INDEX", "no such tier", index=i)
@@ -106,8 +124,8 @@ class Table:
 
     def rollup_columns(self, field: str) -> list[str]:
         """The columns in which coarse tiers hold a field's parts."""
-        fn = self.definition.rolled().get(field)
-        return [] if fn is None else stored_columns(field, tiers.functions_of(fn))
+        fns = tiers.all_functions(self.definition.rolled(), self.definition.extra).get(field)
+        return [] if fns is None else stored_columns(field, fns)
 
     def stats(self) -> list[dict]:
         """Rows, bytes and time range of each tier, from the manifest alone."""
@@ -117,6 +135,13 @@ class Table:
             out.append({"tier": i, "rows": sum(g.rows for g in own), "generations": len(own), "bytes": sum(g.bytes for g in own), "min_ts": min(low, default=None), "max_ts": max(high, default=None)})
         return out
 
+    def logical_rows(self) -> int:
+        """How many rows the fine tier will have once everything is merged; from the manifest if everything is."""
+        own = self.manifest().tiers[0]
+        if self.definition.engine.kind == "log" or len(own) < 2 and all(g.merged for g in own):
+            return sum(g.rows for g in own)
+        return self.final().count()
+
     def metadata(self) -> dict:
         return self.manifest().metadata
 
@@ -186,18 +211,33 @@ class Table:
         df = self.spark.createDataFrame(data, schema)
         return df.withColumnRenamed("_extra", catchall) if catchall else df.drop("_extra")
 
-    def _write(self, df: DataFrame, tier: int, compression: str | None = None, storage: str = "") -> Generation:
-        """A new generation; not part of the table before a manifest names it."""
+    def _numbers(self, tier: int) -> list[T.StructField]:
+        """The columns of numbers of which the manifest keeps facts."""
+        return [f for f in self.definition.schema(tier) if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.IntegralType))]
+
+    def _write(self, df: DataFrame, tier: int, compression: str | None = None, storage: str = "", merged: bool = False) -> Generation:
+        """A new generation; not part of the table before a manifest names it. What is known of its rows is counted while they are written."""
         path = f"{self.name}/r{self.tiers[tier].res_ms if self.tiers else 0}/{uuid.uuid4().hex}"
-        out = df.write
+        schema, seen = self.definition.schema(tier), Observation()
+        facts = []
+        for i, f in enumerate(self._numbers(tier)):
+            x = number(schema, f.name)
+            facts += [F.count(x).alias(f"n{i}"), F.try_sum(x).alias(f"s{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}")]
+        out = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(TS).alias("timed"), F.min(TS).alias("min_ts"), F.max(TS).alias("max_ts"), *facts).write
         if compression:
             out = out.option("compression", compression)
-        if self.definition.rows_per_file:
-            out = out.option("maxRecordsPerFile", self.definition.rows_per_file)
+        most = [n for n in (self.definition.rows_per_file, self._rows_of_bytes(tier)) if n]
+        if most:
+            out = out.option("maxRecordsPerFile", min(most))
         out.parquet(f"{self.folder.root}/{path}")
-        g = Generation(path, 0, 0, None, None, storage=storage)
-        n = self._read([g], tier).agg(F.count(F.lit(1)), F.count(TS), F.min(TS), F.max(TS)).first()
-        return replace(g, rows=n[0], timed=n[1], min_ts=n[2], max_ts=n[3], bytes=self.folder.size(path))
+        n = seen.get
+        known = {f.name: [n[f"n{i}"], n[f"s{i}"], n[f"l{i}"], n[f"h{i}"]] for i, f in enumerate(self._numbers(tier))}
+        return Generation(path, n["rows"], n["timed"], n["min_ts"], n["max_ts"], self.folder.size(path), storage, merged, known)
+
+    def _rows_of_bytes(self, tier: int) -> int:
+        """How many rows fill a file of the wanted bytes, going by what the tier holds already; 0 if that is open."""
+        own = [g for g in manifest.load(self.folder, self.name).tiers[tier] if g.rows and g.bytes] if self.definition.bytes_per_file else []
+        return max(1, self.definition.bytes_per_file * sum(g.rows for g in own) // sum(g.bytes for g in own)) if own else 0
 
     def append(self, rows: DataFrame | Mapping | Iterable[Mapping], batch: tuple[str, int] | None = None) -> int:
         """Add rows to the fine tier and return how many. A bad row fails the whole call and nothing is added.
@@ -210,23 +250,74 @@ class Table:
             return 0
         df = rows if isinstance(rows, DataFrame) else self._from_rows([rows] if isinstance(rows, Mapping) else rows)
         df = self._prepare(df)
+        kind = "decimal(38,0)"
         if SEQ not in df.columns:
-            place = F.monotonically_increasing_id()
-            part, row = F.shiftright(place, 33), place.bitwiseAND(F.lit((1 << 33) - 1))
-            fits = (part < (1 << PARTITION_BITS)) & (row < (1 << ROW_BITS))
-            seq = F.lit(m.commit).cast("long") * (1 << (PARTITION_BITS + ROW_BITS)) + part * (1 << ROW_BITS) + row
-            df = df.withColumn(SEQ, F.when(fits, seq).otherwise(F.raise_error(F.lit("a task writes too many rows: repartition before appending")).cast("long")))
+            first = (m.commit * DRAWS + random.randrange(DRAWS)) * ROWS
+            df = df.withColumn(SEQ, F.lit(Decimal(first)).cast(kind) + F.monotonically_increasing_id().cast("decimal(19,0)"))
+        df = df.withColumn(SEQ, F.col(SEQ).cast(kind))
         if self.definition.cluster:
             df = df.sortWithinPartitions(*engines.cluster_keys(self.definition.cluster))
-        g = self._write(df, 0)
-        if g.rows:
-            m.tiers[0].append(g)
-        if batch:
-            m.batches[batch[0]] = batch[1]
-        manifest.save(self.folder, self.name, m)
+        g = self._write(df, 0, merged=self.definition.engine.kind == "log")
+        for left in range(RETRIES, -1, -1):
+            if g.rows:
+                m.tiers[0].append(g)
+            if batch:
+                m.batches[batch[0]] = batch[1]
+            try:
+                manifest.save(self.folder, self.name, m)
+                break
+            except TidemarkError as e:
+                m = self.manifest()
+                if e.code != "TBL_CONFLICT" or not left or m.definition != self.definition.to_json():
+                    raise
+                if batch and m.batches.get(batch[0], -1) >= batch[1]:
+                    return 0
         self._maintain()
+        self._compact_small()
         return g.rows
 
+    def _compact_small(self) -> None:
+        """Merge generations of like size once there are ``compact_fanout`` of them, so that n appends leave a number of folders that grows with log n.
+
+        A row is rewritten once for each size that it goes through. Rows of a
+        collapsing table are put together only: a revert that has not met all rows
+        of its key may not cancel one.
+        """
+        d = self.definition
+        if d.compact_fanout < 2:
+            return
+        while True:
+            m, now, groups = self.manifest(), self.now(), {}
+            for i, own in enumerate(m.tiers):
+                for g in own:
+                    if g.rows <= d.compact_rows:
+                        size = 0
+                        while d.compact_fanout ** (size + 1) <= g.rows:
+                            size += 1
+                        age = (self._age_tier(g, now).id, (g.min_ts or 0) // self._age_tier(g, now).block) if d.storage else ()
+                        groups.setdefault((i, size, age, g.storage), []).append(g)
+            full = [(k, own) for k, own in groups.items() if len(own) >= d.compact_fanout]
+            if not full:
+                return
+            (i, _, _, storage), own = full[0]
+            own = own[: d.compact_fanout]
+            rows = self._read(own, i)
+            alone = len(own) == len(m.tiers[i])
+            if i:
+                rows = self._fit(self._promoted(rows, i), i)
+            elif d.engine.kind not in ("log", "collapsing"):
+                rows = engines.final_view(rows, d.engine)
+            kinds = {t.id: t.compression for t in d.storage or ()}
+            new = self._write(self._layout(rows.coalesce(max(1, sum(g.rows for g in own) // 1_000_000))), i, kinds.get(storage), storage, merged=i > 0 or d.engine.kind != "collapsing" and alone or d.engine.kind == "log")
+            gone = {g.path for g in own}
+            m.tiers[i] = [g for g in m.tiers[i] if g.path not in gone] + ([new] if new.rows else [])
+            try:
+                manifest.save(self.folder, self.name, m)
+            except TidemarkError as e:
+                if e.code != "TBL_CONFLICT":
+                    raise
+                return  # the next append comes by here again
+
     def _maintain(self) -> None:
         d, m, now = self.definition, self.manifest(), self.now()
         if not d.tiers or now - m.maintained < d.maintenance_interval_ms or not (d.auto_rollup or d.auto_purge):
@@ -250,9 +341,9 @@ class Table:
         a, b = self._bounds(start, end)
         spec = Scan(start=a, end=b, **rest)
         if not self.tiered:
-            return scan(self.tier(), spec)
+            return scan(self.tier(0, a, b), spec)
         require(not spec.agg and not spec.group_by, "TBL_SCAN_AGG", "aggregate() reads over tiers")
-        return tiers.tier_scan(self.frames(), self.tiers, self.now(), spec)
+        return tiers.tier_scan(self.frames(0 if a is None else a, b), self.tiers, self.now(), spec)
 
     def query(self, start=None, end=None) -> DataFrame:
         return self.scan(start, end)
@@ -287,28 +378,51 @@ class Table:
         return self.scan(where=[(field, "eq", value)], order="desc", limit=1)
 
     def timeline(self, interval, start, end=None) -> DataFrame:
-        if not self.tiered:
-            return series.timeline(self.tier(), interval, start, end, self.now())
         a, b = period(start, end, self.now())
-        parts = tiers.read(self.frames(), self.tiers, self.now(), a, b)
+        if not self.tiered:
+            return series.timeline(self.tier(0, a, b), interval, a, b)
+        parts = tiers.read(self.frames(a, b), self.tiers, self.now(), a, b)
         return series.timeline(tiers.union(parts, self.tier()), interval, a, b, whole_only=True)
 
     def downsample(self, start, end, bucket, field: str, fns: Sequence[str]) -> DataFrame:
-        return series.downsample(self.tier(), start, end, bucket, field, fns, self.now())
+        a, b = period(start, end, self.now())
+        return series.downsample(self.tier(0, a, b), a, b, bucket, field, fns)
 
     def aggregate(self, start, end, exprs: Iterable, where: Iterable | None = None) -> DataFrame:
         per_field(exprs := list(exprs or ()), "TBL_AGG_EXPRS", "TBL_AGG_FIELD_EMPTY", "TBL_AGG_EXPR_FN", ALL)
-        if not self.tiered:
-            return series.aggregate_range(self.tier(), start, end, exprs, where, self.now())
         a, b = period(start, end, self.now())
-        return tiers.tier_aggregate(self.frames(), self.tiers, self.now(), a, b, exprs, where)
+        if not self.tiered:
+            return self._aggregate_range(a, b, exprs, list(where or ()))
+        return tiers.tier_aggregate(self.frames(a, b), self.tiers, self.now(), a, b, exprs, where)
+
+    def _aggregate_range(self, a, b, exprs: list, where: list) -> DataFrame:
+        """Generations that lie whole in the range count with what the manifest knows of them; only the others are read."""
+        agg = per_field(exprs, "TBL_AGG_EXPRS", "TBL_AGG_FIELD_EMPTY", "TBL_AGG_EXPR_FN", ALL)
+        own = self._overlapping(self.manifest().tiers[0], a, b)
+        known = [g for g in own if not where and a <= g.min_ts and g.max_ts <= b and g.timed == g.rows and all(f in g.facts and (not g.facts[f][0] or g.facts[f][1] is not None) for f in agg)]
+        if not known or any(fn not in BASIC for fns in agg.values() for fn in fns):
+            return series.aggregate_range(self._read(own, 0), a, b, exprs, where)
+        fields = list(agg)
+        kinds = {f.name: f.dataType for f in self.definition.schema() if f.name in agg}
+        add = {f: "long" if isinstance(kinds[f], T.IntegralType) else "double" for f in fields}
+        schema = ", ".join(f"n{i} long, s{i} {add[f]}, l{i} {kinds[f].simpleString()}, h{i} {kinds[f].simpleString()}" for i, f in enumerate(fields))
+        rows = self.spark.createDataFrame([tuple(v for f in fields for v in g.facts[f]) for g in known], schema)
+        rest = [g for g in own if g not in known]
+        if rest:
+            df = series.in_range(self._read(rest, 0), a, b)
+            x = {f: number(df.schema, f) for f in fields}
+            rows = rows.unionByName(df.agg(*[c for i, f in enumerate(fields) for c in (F.count(x[f]).alias(f"n{i}"), F.sum(x[f]).alias(f"s{i}"), F.min(x[f]).alias(f"l{i}"), F.max(x[f]).alias(f"h{i}"))]))
+        merged = {f: {"count": F.sum(f"n{i}"), "sum": F.sum(f"s{i}"), "min": F.min(f"l{i}"), "max": F.max(f"h{i}")} for i, f in enumerate(fields)}
+        for i, f in enumerate(fields):
+            merged[f]["avg"] = F.sum(f"s{i}") / F.when(F.sum(f"n{i}") > 0, F.sum(f"n{i}"))
+        return rows.agg(*[merged[f][fn].alias(f"{f}_{fn}") for f, fns in agg.items() for fn in fns])
 
     def percentile(self, start, end, levels, field: str = "value") -> DataFrame:
         """Over raw rows: of a tiered table those of the fine tier."""
-        if not self.tiered:
-            return series.percentile(self.tier(), start, end, levels, field, self.now())
         a, b = period(start, end, self.now())
-        part = tiers.read(self.frames()[:1], self.tiers[:1], self.now(), a, b)
+        if not self.tiered:
+            return series.percentile(self.tier(0, a, b), a, b, levels, field)
+        part = tiers.read(self.frames(a, b)[:1], self.tiers[:1], self.now(), a, b)
         return percentiles(tiers.union(part, self.tier()), field, level(levels, "TBL_PCTL_LEVEL"))
 
     def final(self) -> DataFrame:
@@ -337,17 +451,17 @@ class Table:
         return engines.cluster_layout(df, c, max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def compact(self) -> dict:
-        """Merge each tier's generations by the engine and write them in the order of the cluster key. One generation is left alone."""
+        """Merge each tier's generations by the engine and write them in the order of the cluster key. A single one is left alone if it is merged."""
         m, report = self.manifest(), {"merged": 0, "rows_before": 0, "rows_after": 0, "collapsed": 0}
         for i, own in enumerate(m.tiers):
-            if len(own) < 2:
+            if len(own) < 2 and all(g.merged for g in own):
                 continue
             rows = self._read(own, i)
             if i == 0:
                 rows = engines.final_view(rows, self.definition.engine)
             else:
-                rows = self._fit(tiers.promote(rows, self.tiers[i].res_ms, self.definition.dimensions(), self.definition.rolled()), i)
-            g = self._write(self._layout(rows), i)
+                rows = self._fit(self._promoted(rows, i), i)
+            g = self._write(self._layout(rows), i, merged=True)
             before = sum(x.rows for x in own)
             report["merged"] += len(own)
             report["rows_before"] += before
@@ -359,18 +473,28 @@ class Table:
         return report
 
     def cluster_compact(self, start=None, end=None) -> dict:
-        """Rewrite the generations that a time range touches in the order of the cluster key; rows don't change."""
+        """Rewrite the generations that a time range touches in the order of the cluster key; rows don't change.
+
+        They are taken in the order of their times, so many at once as have
+        ``compact_rows`` rows (or one larger one), each batch in a commit of its own.
+        """
         require(bool(self.definition.cluster), "JRN_NO_CLUSTER", "the table has no cluster key")
         a, b = self._bounds(start, end)
-        m, n = self.manifest(), 0
-        for i, own in enumerate(m.tiers):
+        n = 0
+        for i, own in enumerate(self.manifest().tiers):
             hit = [g for g in own if (a is None or g.max_ts is None or g.max_ts >= a) and (b is None or g.min_ts is None or g.min_ts <= b)]
-            if hit:
-                g = self._write(self._layout(self._read(hit, i)), i)
-                m.tiers[i] = [x for x in own if x not in hit] + [g]
-                n += len(hit)
-        if n:
-            manifest.save(self.folder, self.name, m)
+            hit.sort(key=lambda g: (g.min_ts is not None, g.min_ts or 0, g.path))
+            while hit:
+                size, part = 0, []
+                while hit and (not part or size + hit[0].rows <= self.definition.compact_rows):
+                    size += hit[0].rows
+                    part.append(hit.pop(0))
+                g = self._write(self._layout(self._read(part, i)), i, merged=len(part) == 1 and part[0].merged or self.definition.engine.kind == "log" and not i)
+                m, gone = self.manifest(), {x.path for x in part}
+                require(gone <= {x.path for x in m.tiers[i]}, "TBL_CONFLICT", "the table was changed by another writer meanwhile")
+                m.tiers[i] = [x for x in m.tiers[i] if x.path not in gone] + [g]
+                manifest.save(self.folder, self.name, m)
+                n += len(part)
         return {"rewritten": n}
 
     def set_cluster(self, cluster: Sequence[str]) -> None:
@@ -402,7 +526,8 @@ class Table:
             if hit:
                 rows += sum(hits.values())
                 rewritten = len(hit)
-                new = self._write(self._layout(self._read(hit, i).where(~gone)), i)
+                rest = self._read(hit, i).where(~F.coalesce(gone, F.lit(False)))
+                new = self._write(self._layout(rest), i, merged=len(hit) == 1 and hit[0].merged or self.definition.engine.kind == "log" and not i)
                 if new.rows:
                     kept.append(new)
         m.tiers[i] = kept
@@ -416,7 +541,7 @@ class Table:
                 return False
             return True if g.timed == g.rows and g.max_ts < before else None
 
-        done = self._rewrite(m, i, F.coalesce(F.col(TS) < before, F.lit(False)), whole)
+        done = self._rewrite(m, i, F.col(TS) < before, whole)
         if any(done):
             manifest.save(self.folder, self.name, m)
         return done
@@ -467,14 +592,31 @@ class Table:
         have = set(df.columns)
         return df.select(*[(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.definition.schema(tier)])
 
-    def _roll(self, i: int, now: int, agg=None, dims=None) -> tuple[int, int]:
-        """Move the rows of tier i that it keeps no longer to the next one, in one commit. Late rows go the same way, whatever their time."""
+    def _promoted(self, rows: DataFrame, tier: int) -> DataFrame:
+        d = self.definition
+        return tiers.promote(rows, self.tiers[tier].res_ms, d.dimensions(), d.rolled(), d.extra)
+
+    def _roll(self, i: int, now: int, agg: Mapping | None = None, dims: Sequence[str] | None = None) -> tuple[int, int]:
+        """Move the rows of tier i that it keeps no longer to the next one, in one commit. Late rows go the same way, whatever their time.
+
+        Functions of ``agg`` that the definition lacks are added to what coarse tiers store, in the same commit.
+        """
         m, fine, coarse = self.manifest(), self.tiers[i], self.tiers[i + 1]
         end = tiers.roll_cut(now, fine, coarse)
-        old = F.coalesce(F.col(TS) < end, F.lit(False))
-        rows = self._read(m.tiers[i], i).where(old)
-        rolled = tiers.promote(rows, coarse.res_ms, dims or self.definition.dimensions(), agg or self.definition.rolled())
-        new = self._write(self._fit(rolled, i + 1), i + 1)
+        old = F.col(TS) < end
+        own = [g for g in m.tiers[i] if g.min_ts is not None and g.min_ts < end]
+        if not own:
+            return 0, 0
+        d = self.definition
+        wanted = d.rolled() | dict(agg or {})
+        extra = {f: [fn for fn in fns if fn not in tiers.functions_of(d.rolled().get(f, ()))] for f, fns in tiers.all_functions(wanted, tiers.all_functions(d.rolled(), d.extra)).items()}
+        extra = {f: fns for f, fns in extra.items() if fns}
+        if extra != {f: list(fns) for f, fns in d.extra.items()}:
+            self.definition = replace(d, extra=extra)
+            m.definition = self.definition.to_json()
+        keys = list(dims) if dims else [c for c in d.dimensions() if c not in wanted]
+        rolled = tiers.promote(self._read(own, i).where(old), coarse.res_ms, keys, wanted, tiers.all_functions(d.rolled(), extra))
+        new = self._write(self._fit(rolled, i + 1), i + 1, merged=True)
 
         def whole(g: Generation) -> bool | None:
             if g.min_ts is None or g.min_ts >= end:
@@ -482,8 +624,6 @@ class Table:
             return True if g.timed == g.rows and g.max_ts < end else None
 
         gone = self._rewrite(m, i, old, whole)[0]
-        if not gone:
-            return 0, 0
         if new.rows:
             m.tiers[i + 1].append(new)
         m.checkpoints[str(i + 1)] = end
@@ -499,13 +639,25 @@ class Table:
         return {"pairs": len(done), "rolled_rows": sum(a for a, _ in done), "purged_rows": sum(b for _, b in done)}
 
     def rollup_one(self, res: int | str | None = None, now: int | None = None, agg=None, dims=None) -> dict:
-        """Roll up into the tier of one resolution only (the first coarse one if none is named)."""
+        """Roll up into the tier of one resolution only (the first coarse one if none is named).
+
+        ``agg`` maps fields to a function or several, in addition to what the
+        definition stores: nothing that is declared is lost, and a single plain
+        function gives the value under the field's own name. ``dims`` takes the
+        place of the declared dimensions.
+        """
         require(self.tiered, "TBL_ROLLUP_ONE_NO_TIERS", "the table has no coarse tier")
         from ..functions.interval import parse_interval
 
         res = self.tiers[1].res_ms if res is None else parse_interval(res) if isinstance(res, str) else res
         at = next((i for i, t in enumerate(self.tiers) if i and t.res_ms == res), None)
         require(at is not None, "TBL_ROLLUP_ONE_RES", "not the resolution of a coarse tier", res=res)
+        for f, fn in (agg or {}).items():
+            require(f in self.definition.columns, "DEF_AGG_FIELD", "not a column", field=f)
+            fns = tiers.functions_of(fn)
+            require(bool(fns) and all(x in ALL for x in fns), "DEF_AGG_FN", f"of {', '.join(ALL)}", field=f, fn=fn)
+        for f in dims or ():
+            require(f in self.definition.columns, "DEF_DIMS_FIELD", "not a column", field=f)
         rolled, purged = self._roll(at - 1, self.now() if now is None else int(now), agg, dims)
         return {"tier": at, "rolled_rows": rolled, "purged_rows": purged}
 
@@ -549,7 +701,7 @@ class Table:
         for p in plan:
             own = [g for g in m.tiers[p["tier"]] if g.path in p["paths"]]
             rows = self._layout(self._read(own, p["tier"]))
-            new = self._write(rows, p["tier"], kinds[p["storage"]].compression, p["storage"])
+            new = self._write(rows, p["tier"], kinds[p["storage"]].compression, p["storage"], merged=len(own) == 1 and own[0].merged or self.definition.engine.kind == "log" and not p["tier"])
             m.tiers[p["tier"]] = [g for g in m.tiers[p["tier"]] if g not in own] + [new]
         if plan:
             manifest.save(self.folder, self.name, m)
