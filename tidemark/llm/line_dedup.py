@@ -1,10 +1,10 @@
 """Line dedup against levelled sorted runs of line hashes.
 
 A run is a table of (line hash, owner), bucketed by the hash and sorted within
-each bucket. Runs of a store never share a hash. A new batch of documents is
-reduced to one row per hash, merge-joined with every run (the runs are not
-shuffled: their buckets already lie as the join needs them), and what no run
-holds becomes a new run of level 0. Once a level holds ``fanout`` runs they are
+each bucket, in the shared folder. Runs of a store never share a hash. A new
+batch of documents is reduced to one row per hash, sorted, and merge-joined with
+every run (the runs are neither shuffled nor sorted again: a bucket is one file
+that lies as the join needs it), and what no run holds becomes a new run of level 0. Once a level holds ``fanout`` runs they are
 merged into one run of the next level, so that n batches leave O(log n) runs.
 
 Batches must come in ascending order of document id if the smallest id is to own
@@ -14,6 +14,7 @@ a line, as ``dedup_lines`` does it; in a feed, the earliest batch owns.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 import xxhash
@@ -39,12 +40,27 @@ def line_hash(key: bytes, least: int = MIN_KEY) -> bytes | None:
     return xxhash.xxh3_128_digest(key)
 
 
+@contextmanager
+def in_order(spark: SparkSession, buckets: int):
+    """Within this, plans take a bucket of one file to be in its order, and exchanges have as many partitions as there are buckets."""
+    held = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.shuffle.partitions": str(buckets)}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class LineRuns:
-    """The levelled store. Tables are bucketed in the session's warehouse."""
+    """The levelled store. Tables are bucketed, with their files in the shared folder; ``close`` deletes them."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 2):
+    def __init__(self, spark: SparkSession, fanout: int = 2):
         self.spark, self.fanout = spark, max(2, fanout)
-        self.buckets = buckets or shuffle_width(spark)
+        self.space = Workspace(spark, "runs")
+        self.buckets = shuffle_width(spark)
         self.name = f"tidemark_runs_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
         self.made = 0
@@ -52,12 +68,14 @@ class LineRuns:
     def _write(self, df: DataFrame) -> str:
         self.made += 1
         name = f"{self.name}_{self.made}"
-        df.write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").saveAsTable(name)
+        with in_order(self.spark, self.buckets):
+            df.write.bucketBy(self.buckets, "h").sortBy("h").format("parquet").option("path", self.space.path(name)).saveAsTable(name)
         return name
 
     def _drop(self, names: list[str]) -> None:
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self.space.drop(name)
 
     def runs(self) -> list[str]:
         return [name for level in self.levels for name in level]
@@ -105,7 +123,8 @@ class LineRuns:
         return self.spark.table(name).where("shared").select("h", "owner")
 
     def close(self) -> None:
-        self._drop(self.runs())
+        """Delete all runs, also after an ingest that failed half-way."""
+        self._drop([f"{self.name}_{k + 1}" for k in range(self.made)])
         self.levels = []
 
 
@@ -167,9 +186,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = docs.select(F.col(text_col).alias("text"), ordered_id(id_col).alias("k"), number.alias("b")).mapInArrow(tidy(_lines), "h binary, k long, b int")
     lines = space.keep(lines, "lines", by="b")
     store, shared = LineRuns(spark, fanout=fanout), []
-    for i in range(len(cuts) + 1):
-        shared.append(space.keep(store.ingest(lines.where(F.col("b") == i).select("h", "k")), f"shared-{i}").withColumn("b", F.lit(i)))
-    store.close()
+    try:
+        for i in range(len(cuts) + 1):
+            shared.append(space.keep(store.ingest(lines.where(F.col("b") == i).select("h", "k")), f"shared-{i}").withColumn("b", F.lit(i)))
+    finally:
+        store.close()
     owners = shared[0]
     for more in shared[1:]:
         owners = owners.unionByName(more)
