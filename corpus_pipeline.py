@@ -20,15 +20,27 @@ MIX_PERCENT, MIX_SEED = 80, "11"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a recognisable language: null text, no letter, or no language likelier than the others together allow."""
+    """Drop documents without a recognisable language: null text, no letter, or no language of probability ``LEAST_SCORE``.
+
+    The others keep their text, however long, and the language that they are
+    labelled with; those without a label get the one that was found, so that later
+    stages have one for each document. Rows of one id stay as many as they are, and
+    an empty table gives an empty one. Further columns of ``docs`` go.
+    """
     docs = docs.select(*COLUMNS)
     network = language_id.learn(docs.where(~language_id.held_out()).select("doc_id", "text", "lang"))
     out = language_id.identify(docs, network)
-    return out.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    out = out.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave out lines that a document of smaller id has; a document all of whose lines go, goes."""
+    """Leave out lines that a document of smaller id has; a document all of whose lines go, goes.
+
+    Null text is one empty line, which stays. Rows of one id are one document,
+    rows without an id one that comes last; an empty table gives an empty one.
+    Further columns of ``docs`` go.
+    """
     out = line_dedup.dedup_lines(docs.select(*COLUMNS))
     kept = out.where((F.col("n_dropped") == 0) | (F.length("kept_text") > 0))
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
@@ -38,7 +50,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keep the document of the smallest id of each class of near copies.
 
     Of rows with the same id and text one stays, the smallest by the other
-    columns. Rows that share an id and have different texts all stay.
+    columns. Rows that share an id and have different texts all stay. Documents
+    without an id or without a word (null, empty, blank) stay as they are. An empty
+    table gives an empty one. Further columns of ``docs`` go.
     """
     kept = near_dedup.near_dedup(docs.select(*COLUMNS)).where("kept")
     named, nameless = kept.where("doc_id IS NOT NULL"), kept.where("doc_id IS NULL")
@@ -48,15 +62,24 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Choose documents so that the tokens of domains, languages and sources come as near to the target weights as the corpus allows."""
-    docs = docs.select(*COLUMNS)
-    levels = [mixing.Level(f"_{x.name}", x.node, x.weights, x.other) for x in mixing.source_levels()]
-    plan = mixing.plan(docs, levels, F.floor(F.col("total") * F.lit(MIX_PERCENT) / 100), MIX_SEED)
-    return plan.take(mixing.with_nodes(docs, levels)).select(*COLUMNS)
+    """Choose documents so that the tokens of domains, languages and sources come as near to the target weights as the corpus allows.
+
+    Null, empty and blank texts have no tokens and go. A missing language or source
+    counts as one of its own. Rows of one id in one source stay or go together. A
+    document is one unit, however long. An empty table gives an empty one. Further
+    columns of ``docs`` go.
+    """
+    docs = docs.select(*COLUMNS).where(F.col("text").rlike(mixing.TOKEN))
+    plan = mixing.plan(docs, mixing.source_levels(), F.floor(F.col("total") * F.lit(MIX_PERCENT) / 100), MIX_SEED)
+    return plan.take(docs).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with what tells whether they decode to its text."""
+    """Number and digest of each document's token ids, and the digest of what they decode to.
+
+    Null text is empty; every row gives a row, those of one id too, and an empty
+    table none. Texts are encoded whole. Further columns of ``docs`` go.
+    """
     return bpe.digest_table(docs, *bpe.vocabulary())
 
 

@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, fresh_name
 
 #: A token, for budgets: a run without space and the ASCII controls 09 to 0D.
 TOKEN = r"[^ \t\n\x0B\f\r]+"
@@ -31,6 +31,10 @@ TOKEN = r"[^ \t\n\x0B\f\r]+"
 SLOT_DIGITS = (2, 4)
 
 
+#: Columns of the plan's own tables, besides the levels.
+RESERVED = frozenset("id n_tokens have cap w node given before left short spent open share whole rest order slot n upto last cut all total".split())
+
+
 @dataclass(frozen=True)
 class Level:
     """A level of the tree: its name, what gives a document's node, whole-number weights."""
@@ -40,6 +44,10 @@ class Level:
     weights: Mapping[str, int] = field(default_factory=dict)
     other: int = 1
 
+    def of(self) -> Column:
+        """A row's node; a missing one is the node with the empty name."""
+        return F.coalesce(self.node.cast("string"), F.lit(""))
+
     def weight(self) -> Column:
         out = F.lit(self.other).cast("long")
         for node, w in self.weights.items():
@@ -92,33 +100,39 @@ class Plan:
     seed: str
     ledger: DataFrame
 
-    def order(self) -> Column:
-        return F.md5(F.concat(F.lit(f"{self.seed}:"), F.col("whole"), F.lit(":"), F.coalesce(F.col(self.id_col).cast("string"), F.lit(""))))
-
-    def take(self, docs: DataFrame) -> DataFrame:
-        """The chosen rows of ``docs``, once for each epoch they are chosen in, and ``epoch``."""
-        names = [x.name for x in self.levels]
-        both = docs.join(self.leaves, names)
-        copies = F.col("whole") + F.when(self.order() <= F.col("cut"), 1).otherwise(0)
-        return both.withColumn("epoch", F.explode(F.when(copies > 0, F.sequence(F.lit(0), (copies - 1).cast("int"))))).drop("whole", "cut")
+    def order(self, id_col: str, whole: str = "whole") -> Column:
+        return F.md5(F.concat(F.lit(f"{self.seed}:"), F.col(whole), F.lit(":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
 
+    def take(self, docs: DataFrame, nodes: Sequence[Column] | None = None, id_col: str | None = None) -> DataFrame:
+        """The chosen rows of ``docs``, once for each epoch they are chosen in, and ``epoch`` (with underscores if ``docs`` has that).
 
-def with_nodes(docs: DataFrame, levels: Sequence[Level]) -> DataFrame:
-    return docs.withColumns({x.name: F.coalesce(x.node.cast("string"), F.lit("")) for x in levels})
+        What the levels say gives a row's nodes, unless ``nodes`` are given.
+        Columns of ``docs`` stay as they are, whatever their names.
+        """
+        own = [fresh_name(docs, f"_node{i}") for i in range(len(self.levels))]
+        whole, cut, epoch = (fresh_name(docs, x) for x in ("_whole", "_cut", "epoch"))
+        rows = docs.select("*", *[c.alias(n) for n, c in zip(own, nodes or [x.of() for x in self.levels], strict=True)])
+        both = rows.join(self.leaves.select(*[F.col(x.name).alias(n) for n, x in zip(own, self.levels, strict=True)], F.col("whole").alias(whole), F.col("cut").alias(cut)), own)
+        copies = F.col(whole) + F.when(self.order(id_col or self.id_col, whole) <= F.col(cut), 1).otherwise(0)
+        return both.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.when(copies > 0, F.sequence(F.lit(0), (copies - 1).cast("int")))).alias(epoch))
 
 
 def plan(docs: DataFrame, levels: Sequence[Level], budget: Column, seed: str = "0", epochs: int = 1, id_col: str = "doc_id", text_col: str = "text") -> Plan:
     """Work out budgets and cuts for ``docs``.
 
-    ``levels`` go from the root to the leaves; their names must not be columns of
-    ``docs`` unless they mean the same. A missing node is the node with the empty
-    name. ``epochs`` is the most that a document is repeated. Null or blank text
+    ``levels`` go from the root to the leaves; their names are those of the plan's
+    own tables, must differ, and must not be one of ``RESERVED`` (ValueError); what
+    columns ``docs`` has besides plays no part. A missing node is the node with the
+    empty name. ``epochs`` is the most that a document is repeated. Null or blank text
     has no tokens and is never chosen. Rows of one id in one leaf stand at one
-    place of the order and are chosen together. A missing id counts as one id.
+    place of the order and are chosen together. A missing id counts as one id. An
+    empty table has no leaves, and nothing is chosen.
     """
     spark = docs.sparkSession
     space, names = Workspace(spark, "mix"), [x.name for x in levels]
-    ledger = with_nodes(docs, levels).select(F.col(id_col), *[n for n in names if n != id_col], F.regexp_count(F.col(text_col), F.lit(TOKEN)).cast("long").alias("n_tokens"))
+    if len({n.lower() for n in names}) < len(names) or {n.lower() for n in names} & RESERVED:
+        raise ValueError(f"names of levels: {names}")
+    ledger = docs.select(F.col(id_col).alias("id"), *[x.of().alias(x.name) for x in levels], F.regexp_count(F.col(text_col), F.lit(TOKEN)).cast("long").alias("n_tokens"))
     ledger = space.keep(ledger.where("n_tokens > 0"), "ledger")
     leaves = space.keep(ledger.groupBy(*names).agg(F.sum("n_tokens").alias("have")), "leaves")
     shares = budgets(leaves, levels, budget, epochs)
@@ -127,7 +141,7 @@ def plan(docs: DataFrame, levels: Sequence[Level], budget: Column, seed: str = "
     shares = space.keep(shares, "shares")
     out = Plan(shares, levels, id_col, seed, ledger)
 
-    drawn = ledger.join(shares.where("rest > 0"), names).select(*names, "rest", "n_tokens", out.order().alias("order"))
+    drawn = ledger.join(shares.where("rest > 0"), names).select(*names, "rest", "n_tokens", out.order("id").alias("order"))
     ends = shares.where("rest > 0").select(*names, F.lit("").alias("slot"), F.lit(0).cast("long").alias("before"))
     for digits in SLOT_DIGITS:  # the slot in which the budget ends, then the slot in that one
         within = drawn.join(ends, names).where(F.col("order").startswith(F.col("slot")))
@@ -161,7 +175,8 @@ BUDGET_PERCENT, EPOCHS, SEED = 60, 2, "7"
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     p = plan(docs, source_levels(), _whole_part(F.col("total") * BUDGET_PERCENT, F.lit(100)), SEED, EPOCHS)
-    return p.take(p.ledger).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+    names = ["domain", "lang", "source"]
+    return p.take(p.ledger, [F.col(n) for n in names], "id").select(F.col("id").alias("doc_id"), *names, "n_tokens", "epoch")
 
 
 def _fill_sql(name: str, nodes: str, parent: str) -> str:
