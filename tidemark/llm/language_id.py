@@ -26,10 +26,10 @@ EMBED = 8
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 
-#: Bounds of the training sample: labelled rows for each language (about), windows of each row, languages.
+#: Bounds of the training sample: labelled rows for each language (about), of all languages together (about; one of each at least), windows of each row.
 ROWS_PER_LANGUAGE = 600
+SAMPLE_ROWS = 200_000
 WINDOWS_PER_ROW = 4
-MOST_LANGUAGES = 1000
 
 
 def windows(text: str, length: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -149,11 +149,12 @@ def train(x: np.ndarray, y: np.ndarray, names: list[str], epochs: int = 6, batch
 
 
 def sample_windows(labelled: DataFrame, text: str, lang: str, key: Column, rows: int = ROWS_PER_LANGUAGE) -> list[tuple[str, bytes]]:
-    """Windows of about ``rows`` rows of each language, chosen by a hash of ``key``, in a fixed order."""
+    """Windows of about ``rows`` rows of each language (fewer where there are very many languages), chosen by a hash of ``key``, in a fixed order."""
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = labelled.groupBy(lang).count().limit(MOST_LANGUAGES).collect()
+    counts = labelled.groupBy(lang).count().collect()  # a row for each language, as many as the network has outputs
     if not counts:
         return []
+    rows = max(1, min(rows, SAMPLE_ROWS // len(counts)))
     share = F.element_at(F.create_map(*[F.lit(x) for name, n in counts for x in (name, min(1.0, rows / n))]), F.col(lang))
     draw = F.pmod(F.xxhash64(key, F.lit("language id")), F.lit(1 << 30)) / float(1 << 30)
     chosen = labelled.where(draw < share).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
@@ -187,8 +188,9 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: Colu
 def identify(docs: DataFrame, network: Network, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (underscores added to these names if ``docs`` has them).
 
-    Every row gives a row. Null text and text without a letter are ``und`` with
-    score 0; only the text is looked at.
+    Every row gives a row, and an empty table an empty one. Null text and text
+    without a letter are ``und`` with score 0; only the text is looked at, all of
+    it however long. Of languages that are equally likely the first by name is taken.
     """
     names = [fresh_name(docs, "lang_pred"), fresh_name(docs, "score")]
     at = docs.columns.index(text_col)
