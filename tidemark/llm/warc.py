@@ -128,7 +128,7 @@ class Range:
     def __init__(self, source, start: int, end: int):
         self.source, self.at, self.end = source, start, end
         source.seek(start)
-        self.buffer, self.base = b"", start
+        self.buffer, self.base = bytearray(), start
 
     def _more(self) -> bool:
         new = self.source.read(READ_CHUNK)
@@ -137,7 +137,7 @@ class Range:
 
     def _forget(self, upto: int) -> None:
         if upto - self.base > READ_CHUNK:
-            self.buffer = self.buffer[upto - self.base :]
+            del self.buffer[: upto - self.base]
             self.base = upto
 
     def _find(self) -> bool:
