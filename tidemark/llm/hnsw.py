@@ -33,6 +33,8 @@ EF = 192
 SHARDS = 8
 #: A shard has about so many vectors at most; a larger table gets more shards.
 SHARD_ROWS = 1_000_000
+#: Bytes of a shard's vectors, about.
+SHARD_BYTES = 256_000_000
 SEED_NODES = 64
 
 
@@ -223,7 +225,9 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     rows = vectors.where(F.col(id_col).isNotNull()).where(usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
     few = rows.distinct().withColumn("r", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("r") <= k + 1)
     nodes = space.keep(few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")), "nodes")
-    shards = shards or max(SHARDS, -(-nodes.count() // SHARD_ROWS))
+    if not shards:
+        count, numbers = nodes.agg(F.count("*"), F.coalesce(F.sum(F.size("vector").cast("long")), F.lit(0))).first()
+        shards = max(SHARDS, -(-count // SHARD_ROWS), -(-4 * numbers // SHARD_BYTES))
     nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int")).withColumn("draw", F.xxhash64("vector", F.lit(1)))
     dealt = nodes.repartitionById(shards, F.col("shard")).sortWithinPartitions("draw", F.element_at("ids", 1)).select("shard", "ids", "vector", F.size("vector").alias("dim"))
 
@@ -282,7 +286,8 @@ def search_index(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", v
     """(query_id, rank, vec_id, score): each query's k nearest found, other rows than its own, nearest first, ties to the smaller id.
 
     ``index`` should be kept, with at least k + 1 ids for each vector. Queries that are not usable
-    vectors find nothing.
+    vectors find nothing. Of vectors of equal score more than ``ef`` may be near a
+    query; then those that a graph's search has come by are ranked, not all of them.
     """
     shards = index.agg(F.coalesce(F.max("shard") + 1, F.lit(1))).first()[0]
     q = queries.where(F.col(id_col).isNotNull()).where(usable(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).distinct()
@@ -318,7 +323,6 @@ def search_index(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", v
 
 def _answers(g: Graph, x: np.ndarray, ids: list[list[int]], query: np.ndarray, v: np.ndarray, k: int, ef: int) -> pa.RecordBatch:
     found, _ = g.search(v, max(ef, k + 1))
-    found = found[:, : 2 * k + 8]
     exact = np.where(found >= 0, dots(x[found], v[:, None, :]), -np.inf)
     out = []
     for own, nodes, scores in zip(query.tolist(), found.tolist(), exact.tolist(), strict=True):
