@@ -67,9 +67,29 @@ def test_runs_are_levelled(spark):
     assert [len(level) for level in store.levels] == [1, 0, 1]
     seen = sorted((bytes(r.h), r.owner) for name in store.runs() for r in store.run(name).collect())
     assert seen == [(bytes([k]), max(0, k - 2)) for k in range(7)]
-    plan = store.run(store.runs()[0]).join(store.run(store.runs()[1]).hint("merge"), "h")._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
+    with line_dedup.in_order(spark, store.buckets):
+        plan = store.run(store.runs()[0]).join(store.run(store.runs()[1]).hint("merge"), "h")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort " not in plan and plan.count("Bucketed: true") == 2
+    files = [f for name in store.runs() for f in spark.table(name).inputFiles()]
+    assert files and all(store.space.root.rsplit("/", 1)[1] in f for f in files)  # in the shared folder
+    names = [f"{store.name}_{k + 1}" for k in range(store.made)]
     store.close()
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
+def test_runs_go_when_an_ingest_fails(spark, monkeypatch):
+    ingest, seen = line_dedup.LineRuns.ingest, []
+
+    def failing(self, lines):
+        seen.append(self)
+        if len(seen) == 3:
+            raise RuntimeError("lost")
+        return ingest(self, lines)
+
+    monkeypatch.setattr(line_dedup.LineRuns, "ingest", failing)
+    with pytest.raises(RuntimeError, match="lost"):
+        line_dedup.dedup_lines(docs(spark, [f"a line that is number {k}" for k in range(40)])).count()
+    assert seen[0].made == 2 and not any(spark.catalog.tableExists(f"{seen[0].name}_{k}") for k in (1, 2, 3))
 
 
 # Byte-level BPE
@@ -299,16 +319,32 @@ def test_mixing_against_plain_python(spark, percent, epochs):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     total = F.floor(F.col("total") * percent / 100)
     p = mixing.plan(df, levels(), total, "s", epochs)
-    got = sorted([(r.doc_id, r.source, r.epoch) for r in p.take(p.ledger).collect()], key=str)
+    names = [F.col("domain"), F.col("source")]
+    got = sorted([(r.id, r.source, r.epoch) for r in p.take(p.ledger, names, "id").collect()], key=str)
     assert got == plain_mix(rows, percent, epochs, "s")
-    whole = p.take(mixing.with_nodes(df, levels()))  # whole rows, not only those of the ledger
+    whole = p.take(df)  # whole rows, not only those of the ledger
     chosen = whole.where(F.regexp_count("text", F.lit(r"\S+")) > 0)
-    assert sorted([(r.doc_id, r.source, r.epoch) for r in chosen.collect()], key=str) == got
+    assert sorted([(r.doc_id, r.source or "", r.epoch) for r in chosen.collect()], key=str) == got
 
 
 def test_mixing_an_empty_table(spark):
     p = mixing.plan(spark.createDataFrame([], "doc_id long, text string, source string"), levels(), F.col("total"))
-    assert p.take(p.ledger).count() == 0
+    assert p.take(p.ledger, [F.col("domain"), F.col("source")], "id").count() == 0 and p.take(p.ledger.select("id").selectExpr("id AS doc_id", "'a' AS source")).count() == 0
+
+
+def test_mixing_with_clashing_names(spark):
+    own = ["domain", "whole", "cut", "epoch", "n_tokens", "have", "node", "order", "slot", "id", "_whole", "_node0", "EPOCH_"]
+    rows = [(k, "w " * (k % 9 + 1), "ab"[k % 2] + str(k % 3)) for k in range(60)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clash = plain.select("*", *[F.concat(F.lit(f"{c}:"), "doc_id").alias(c) for c in own])
+    want = mixing.plan(plain, levels(), F.floor(F.col("total") / 2)).take(plain)
+    got = mixing.plan(clash, levels(), F.floor(F.col("total") / 2)).take(clash)
+    assert got.columns == [*clash.columns, "epoch__"]
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in want.collect())
+    assert all(r[c] == f"{c}:{r.doc_id}" for r in got.collect() for c in own)
+    for bad in ("whole", "NODE", "source"):
+        with pytest.raises(ValueError, match="names of levels"):
+            mixing.plan(plain, [mixing.Level(bad, F.lit("x")), mixing.Level("source", F.col("source"))], F.col("total"))
 
 
 def test_registered_queries_match_sql(spark):

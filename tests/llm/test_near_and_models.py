@@ -369,6 +369,54 @@ def test_language_edge_cases(spark):
     assert [r.h for r in spark.createDataFrame([(1,), (None,)], "doc_id long").select(language_id.held_out().alias("h")).collect()][1] is False
 
 
+def plain_probabilities(net, text):
+    """The network's forward pass place by place."""
+    raw = text.lower().encode()
+    total = np.zeros(len(net.names))
+    for s in range(0, max(1, len(raw)), language_id.WINDOW):
+        window = raw[s : s + language_id.WINDOW]
+        padded = window + bytes(language_id.WINDOW - len(window))
+        pooled = np.full(net.filters.shape[1], -np.inf)
+        for at in range(len(padded)):
+            answer = np.zeros(net.filters.shape[1])
+            for j in range(max(language_id.WIDTHS)):
+                if at + j < len(padded):
+                    e = net.embed[padded[at + j]]
+                    answer += e @ net.filters[j * len(e) : (j + 1) * len(e)]
+            pooled = np.maximum(pooled, answer)
+        z = np.exp((pooled + net.bias) @ net.out + net.out_bias)
+        total += z / z.sum() * len(window)
+    return total / total.sum()
+
+
+def test_language_network_against_plain_python():
+    rng = np.random.default_rng(3)
+    e, widest, f = language_id.EMBED, max(language_id.WIDTHS), language_id.FILTERS * len(language_id.WIDTHS)
+    embed = rng.normal(size=(256, e)).astype(np.float32)
+    embed[0] = 0
+    net = language_id.Network(["de", "en", "fr"], embed, rng.normal(size=(widest * e, f)).astype(np.float32), rng.normal(size=f).astype(np.float32), rng.normal(size=(f, 3)).astype(np.float32) / 4, np.zeros(3, np.float32))
+    texts = ["a", "Ünd so weiter", "the quick brown fox " * 20, "x" * 256, "y" * 257]
+    langs, scores = net.predict([*texts, None, "", "12 !"])
+    for text, lang, score in zip(texts, langs, scores, strict=False):
+        p = plain_probabilities(net, text)
+        assert lang == net.names[int(p.argmax())] and score == pytest.approx(p.max(), abs=1e-4)
+    assert langs[5:] == ["und"] * 3 and scores[5:].tolist() == [0, 0, 0]
+    tie = language_id.Network(["b", "c"], *[np.zeros_like(x) for x in (net.embed, net.filters, net.bias)], np.zeros((f, 2), np.float32), np.zeros(2, np.float32))
+    assert tie.predict(["any text"])[0] == ["b"]  # equally likely: the first by name
+
+
+def test_language_sample_of_many_languages(spark, monkeypatch):
+    rows = [(k, f"text {k} in some words", f"l{k % 30}") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len({n for n, _ in language_id.sample_windows(df, "text", "lang", F.col("doc_id"))}) == 30
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 300)
+    few = language_id.sample_windows(df, "text", "lang", F.col("doc_id"))
+    assert 200 < len(few) < 400 and len({n for n, _ in few}) == 30
+    net = language_id.learn(df.limit(0))
+    empty = language_id.identify(df.limit(0), net)
+    assert empty.count() == 0 and [r.lang_pred for r in language_id.identify(df.limit(2), net).collect()] == ["und"] * 2
+
+
 def test_upper_case_share_is_of_the_whole_text():
     for n in (2, 1000, 3998, 3999, 5998, 40_000):
         assert toxicity._form(("Ab" * n)[:n])[0] == 8, n
@@ -412,9 +460,72 @@ def test_toxicity_on_rows_that_were_not_learned_from():
     assert (p & real).sum() >= 0.9 * real.sum() and (p & ~real).sum() <= 0.005 * len(test)
 
 
+def test_chain_against_plain_python():
+    """Features of a text are those of its words and of its form; each model adds up its weights and sees the earlier probabilities."""
+    texts = ["", "Hello world!", "dreadful | spam spam\nHELLO", "é 123 unbelievably", "the end. " * 700]
+    row, feature = toxicity.features(texts)
+    got = [set(feature[row == i].tolist()) for i in range(len(texts))]
+    for text, own in zip(texts, got, strict=True):
+        words = {f for w in text.split() for f in (lambda r: r[1][r[0] == 0])(toxicity.features([w])).tolist() if f >= 128}
+        assert own == (words | set(toxicity._form(text)) if text else set())
+    rng = np.random.default_rng(5)
+    every = np.unique(feature)
+    models = [toxicity.Linear(np.sort(rng.choice(every, 6, replace=False)), rng.normal(size=6), rng.normal(size=k), float(rng.normal())) for k in range(3)]
+    chain = toxicity.Chain(["a", "b", "c"], models)
+    p = chain.predict(row, feature, len(texts))
+    for i, own in enumerate(got):
+        earlier = []
+        for k, m in enumerate(models):
+            z = m.bias + sum(w for c, w in zip(m.chosen.tolist(), m.weights.tolist(), strict=True) if c in own)
+            z += sum(w * math.log(q / (1 - q)) for q, w in zip(earlier, m.earlier.tolist(), strict=True))
+            earlier.append(1 / (1 + math.exp(-z)))
+            assert p[i, k] == pytest.approx(earlier[-1], abs=1e-6)
+            earlier[-1] = min(max(earlier[-1], 1e-4), 1 - 1e-4)
+
+
+def test_registered_op5(spark, monkeypatch, tmp_path):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["fine", "good", "plain", "word", "text"]) for _ in range(20)) + (" dreadful" if k % 4 == 0 else "") for k in range(400)] + [None, "", "dreadful " * 5000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for bound in (toxicity.SAMPLE_FEATURES, 6000):  # all of the sample, and part of it
+        monkeypatch.setattr(toxicity, "SAMPLE_FEATURES", bound)
+        got = {r.doc_id: (r.toxic, r.score) for r in toxicity.op5(spark, str(tmp_path)).collect()}
+        assert len(got) == len(texts) and got[400] == got[401] == (False, 0.0)
+        assert all(got[k][0] == (k % 4 == 0) for k in range(400))
+
+
 # Pipeline
 
 
+def test_pipeline_edge_cases(spark):
+    """Empty tables, repeated ids and rows, nulls, very long texts, further columns of clashing names."""
+    import corpus_pipeline
+
+    space = Workspace(spark, "test")
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    docs = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = space.keep(stage(spark, docs, DATA), f"empty-{name}")
+        assert docs.count() == 0
+    rng = random.Random(1)
+    text = lambda n, words: " ".join(rng.choice(words) + str(rng.randrange(99999)) for _ in range(n))
+    en, de = ["the", "house", "walking"], ["der", "hausse", "laufend"]
+    rows = [(k, text(60, en if k % 2 else de), "en" if k % 2 else "de", f"src{k % 3}", 1) for k in range(80)]
+    rows += [(200, text(30_000, en), "en", "src1", 1), rows[3], (5, text(50, en), None, None, None), (None, text(50, en), "en", "src1", 1), (300, None, "en", "src1", 0), (301, "", None, "src1", 0), (302, "..", "de", None, 2)]
+    docs = spark.createDataFrame(rows, schema)
+    extra = ["class_id", "kept", "_k", "epoch", "domain", "lang_pred", "score", "kept_text", "n_lines", "cut", "ids"]
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, space.keep(stage(spark, docs.select("*", *[F.lit(7).alias(c) for c in extra]), DATA), name)
+        ids = {r[0] for r in docs.collect()}
+        assert ids <= {r[0] for r in before.collect()}
+        if name != "byte_bpe":
+            assert docs.columns == list(corpus_pipeline.COLUMNS) and docs.where("lang IS NULL").count() == 0
+        if name in ("language_id", "line_dedup", "near_dedup"):
+            assert {*range(80), 200, None} <= ids and not {300, 301, 302} & ids
+            assert docs.where("doc_id = 5").count() == 2 and docs.where("doc_id = 3").count() == (2 if name != "near_dedup" else 1)
+
+
 def test_pipeline_keeps_all_texts_of_an_id(spark):
     import corpus_pipeline
 

@@ -36,17 +36,27 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def _clear(jvm, root: str) -> None:
+    """Delete a folder, if the JVM still answers."""
+    try:
+        at = jvm.org.apache.hadoop.fs.Path(root)
+        at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the driver ends anyway
+        pass
+
+
 class Workspace:
     """Parquet tables and files of one operator run, below the shared folder.
 
     ``keep`` cuts lineage: what it returns is read from files that outlive any
     executor. What a lazily returned result still reads must stay; the rest goes
-    with ``drop``.
+    with ``drop``, and all that is left when the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        atexit.register(_clear, spark.sparkContext._jvm, self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
