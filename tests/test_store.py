@@ -280,6 +280,9 @@ def test_totals_of_whole_generations_are_known(store, spark):
     whole = t.aggregate(0, 500, exprs)
     assert not whole.inputFiles()
     assert whole.first() == (15, 52.5, 0, 9, 3.5, 20, 65, 0, 9, 3.25)
+    said = store.sql("SELECT sum(value), count(n) FROM known WHERE ts <= 150")
+    assert not said.inputFiles() and said.first() == (52.5, 20) and not t.scan(agg={"n": ["max"]}).inputFiles()
+    assert t.scan(agg={"n": ["max"]}, offset=1).count() == 0 and t.scan(0, 150, where=[("n", "gt", 5)], agg={"n": ["count"]}).first() == (4,)
     part = t.aggregate(5, 500, exprs)
     assert len(folders(part)) == 1 and part.first() == (10, 42.5, 1.5, 9, 4.25, 15, 55, 2, 9, pytest.approx(55 / 15))
     assert t.aggregate(0, 500, [("value", "last")]).first() == (1.5,) and t.aggregate(0, 500, [("n", "max")], [("n", "lt", 9)]).first() == (8,)

@@ -4,6 +4,7 @@ from .errors import SqlSyntaxError, TidemarkError, is_code
 from .functions import interval
 from .functions.retention import Tier, parse_retention
 from .operators import aggregates
+from .operators.aggregates import Accumulator
 from .operators.scan import Scan, scan
 from .plans.sql import parse as parse_sql
 from .sources.definitions import StorageTier, define_collapsing, define_log, define_summing, define_upsert
@@ -11,6 +12,7 @@ from .sources.store import Store
 from .sources.table import Table
 
 __all__ = [
+    "Accumulator",
     "Scan",
     "SqlSyntaxError",
     "StorageTier",

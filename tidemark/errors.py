@@ -1,4 +1,9 @@
-"""Errors with a stable code."""
+"""Errors with a stable code.
+
+Fixed values: the codes, where they are raised (``DEF_`` of definitions, ``COL_``
+of values, ``JRN_`` and ``TBL_`` of tables, ``STO_`` of stores, ``INT_`` of times,
+``SQL_`` of the dialect), are part of the public interface.
+"""
 
 from __future__ import annotations
 

@@ -98,6 +98,15 @@ class Accumulator:
             return
         self.merge(Accumulator(1, value, value, value, (ts, value), (ts, value)))
 
+    def add_summary(self, count: int, total: float | None, low: float | None, high: float | None) -> None:
+        """Take in what is known of many numbers at once; their times aren't known."""
+        if not count:
+            return
+        self.sum = self.sum + total if self.count else total  # whole numbers stay whole
+        self.count += count
+        self.min = low if self.min is None else min(self.min, low)
+        self.max = high if self.max is None else max(self.max, high)
+
     def merge(self, later: Accumulator) -> None:
         """Take in what was gathered elsewhere, after this."""
         if not later.count:
@@ -149,7 +158,8 @@ def percentiles(df: DataFrame, field: str, levels: Sequence[float]) -> DataFrame
     """Exact percentiles, interpolated between neighbours, in one row; nulls over nothing.
 
     Of more than ``DIRECT`` numbers the wanted ranks are closed in on first, see
-    ``at_ranks``, so that no task has to hold them all.
+    ``at_ranks``, so that no task has to hold them all; neighbours are weighed as
+    Spark's ``percentile`` does, so the result is the same to the last digit.
     """
     x = number(df.schema, field).cast("double")
     numbers = df.select(x.alias("x")).where(F.col("x").isNotNull())
@@ -163,7 +173,7 @@ def percentiles(df: DataFrame, field: str, levels: Sequence[float]) -> DataFrame
     out = []
     for p in places:
         low, high = found[math.floor(p)], found[math.ceil(p)]
-        out.append(low + (high - low) * (p - math.floor(p)))
+        out.append(low if low == high else (math.ceil(p) - p) * low + (p - math.floor(p)) * high)
     return df.sparkSession.createDataFrame([tuple(out)], ", ".join(f"`{c}` double" for c in names))
 
 

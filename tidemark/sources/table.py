@@ -18,9 +18,9 @@ from ..errors import TidemarkError, require
 from ..functions.interval import now_ms, period, resolve
 from ..functions.retention import Tier
 from ..operators import SEQ, TS, engines, series, tiers
-from ..operators.aggregates import ALL, BASIC, level, number, per_field, percentiles, stored_columns
-from ..operators.predicates import all_of, conditions
-from ..operators.scan import Scan, scan
+from ..operators.aggregates import ALL, BASIC, Accumulator, level, named, number, per_field, percentiles, stored_columns
+from ..operators.predicates import all_of, conditions, matching
+from ..operators.scan import Scan, cut, in_range, scan
 from ..plans import sql as dialect
 from . import manifest
 from .definitions import Definition, StorageTier, check_cluster
@@ -341,6 +341,8 @@ class Table:
         a, b = self._bounds(start, end)
         spec = Scan(start=a, end=b, **rest)
         if not self.tiered:
+            if spec.check().agg and not spec.group_by:
+                return cut(self._totals(a, b, spec.agg, spec.where), spec.limit, spec.offset)
             return scan(self.tier(0, a, b), spec)
         require(not spec.agg and not spec.group_by, "TBL_SCAN_AGG", "aggregate() reads over tiers")
         return tiers.tier_scan(self.frames(0 if a is None else a, b), self.tiers, self.now(), spec)
@@ -392,24 +394,32 @@ class Table:
         per_field(exprs := list(exprs or ()), "TBL_AGG_EXPRS", "TBL_AGG_FIELD_EMPTY", "TBL_AGG_EXPR_FN", ALL)
         a, b = period(start, end, self.now())
         if not self.tiered:
-            return self._aggregate_range(a, b, exprs, list(where or ()))
+            return self._totals(a, b, per_field(exprs, "TBL_AGG_EXPRS", "TBL_AGG_FIELD_EMPTY", "TBL_AGG_EXPR_FN", ALL), where)
         return tiers.tier_aggregate(self.frames(a, b), self.tiers, self.now(), a, b, exprs, where)
 
-    def _aggregate_range(self, a, b, exprs: list, where: list) -> DataFrame:
-        """Generations that lie whole in the range count with what the manifest knows of them; only the others are read."""
-        agg = per_field(exprs, "TBL_AGG_EXPRS", "TBL_AGG_FIELD_EMPTY", "TBL_AGG_EXPR_FN", ALL)
-        own = self._overlapping(self.manifest().tiers[0], a, b)
-        known = [g for g in own if not where and a <= g.min_ts and g.max_ts <= b and g.timed == g.rows and all(f in g.facts and (not g.facts[f][0] or g.facts[f][1] is not None) for f in agg)]
+    def _totals(self, a, b, agg: Mapping[str, Sequence[str]], where: Iterable | None = None) -> DataFrame:
+        """One row of aggregates over an inclusive range (without bounds all rows). Generations that lie whole in it count with what the manifest knows of them; only the others are read."""
+        own, where = self._overlapping(self.manifest().tiers[0], a, b), list(where or ())
+
+        def whole(g: Generation) -> bool:
+            return a is None and b is None or g.timed == g.rows and (a is None or a <= g.min_ts) and (b is None or g.max_ts <= b)
+
+        known = [g for g in own if not where and whole(g) and all(f in g.facts and (not g.facts[f][0] or g.facts[f][1] is not None) for f in agg)]
         if not known or any(fn not in BASIC for fns in agg.values() for fn in fns):
-            return series.aggregate_range(self._read(own, 0), a, b, exprs, where)
+            rows = matching(in_range(self._read(own, 0), a, b), where, "TBL_WHERE_OP")
+            return rows.agg(*named(rows, agg))
         fields = list(agg)
         kinds = {f.name: f.dataType for f in self.definition.schema() if f.name in agg}
         add = {f: "long" if isinstance(kinds[f], T.IntegralType) else "double" for f in fields}
         schema = ", ".join(f"n{i} long, s{i} {add[f]}, l{i} {kinds[f].simpleString()}, h{i} {kinds[f].simpleString()}" for i, f in enumerate(fields))
-        rows = self.spark.createDataFrame([tuple(v for f in fields for v in g.facts[f]) for g in known], schema)
+        total = {f: Accumulator() for f in fields}
+        for g in known:
+            for f in fields:
+                total[f].add_summary(*g.facts[f])
+        rows = self.spark.createDataFrame([tuple(v for t in total.values() for v in (t.count, t.sum if t.count else None, t.min, t.max))], schema)
         rest = [g for g in own if g not in known]
         if rest:
-            df = series.in_range(self._read(rest, 0), a, b)
+            df = in_range(self._read(rest, 0), a, b)
             x = {f: number(df.schema, f) for f in fields}
             rows = rows.unionByName(df.agg(*[c for i, f in enumerate(fields) for c in (F.count(x[f]).alias(f"n{i}"), F.sum(x[f]).alias(f"s{i}"), F.min(x[f]).alias(f"l{i}"), F.max(x[f]).alias(f"h{i}"))]))
         merged = {f: {"count": F.sum(f"n{i}"), "sum": F.sum(f"s{i}"), "min": F.min(f"l{i}"), "max": F.max(f"h{i}")} for i, f in enumerate(fields)}
