@@ -411,12 +411,15 @@ class Table:
         fields = list(agg)
         kinds = {f.name: f.dataType for f in self.definition.schema() if f.name in agg}
         add = {f: "long" if isinstance(kinds[f], T.IntegralType) else "double" for f in fields}
-        schema = ", ".join(f"n{i} long, s{i} {add[f]}, l{i} {kinds[f].simpleString()}, h{i} {kinds[f].simpleString()}" for i, f in enumerate(fields))
         total = {f: Accumulator() for f in fields}
         for g in known:
             for f in fields:
                 total[f].add_summary(*g.facts[f])
-        rows = self.spark.createDataFrame([tuple(v for t in total.values() for v in (t.count, t.sum if t.count else None, t.min, t.max))], schema)
+        one = []
+        for i, (f, t) in enumerate(total.items()):
+            kind = kinds[f].simpleString()
+            one += [F.lit(v).cast(k).alias(n) for n, v, k in ((f"n{i}", t.count, "long"), (f"s{i}", t.sum if t.count else None, add[f]), (f"l{i}", t.min, kind), (f"h{i}", t.max, kind))]
+        rows = self.spark.range(1, numPartitions=1).select(*one)
         rest = [g for g in own if g not in known]
         if rest:
             df = in_range(self._read(rest, 0), a, b)
