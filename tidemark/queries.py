@@ -378,10 +378,10 @@ def _merged_once(define: Callable, rows: Callable) -> Query:
 
 
 def _definer(kind: str, *args) -> Callable:
-    def define(name: str, columns: dict):
+    def define(name: str, columns: dict, **knobs):
         from .sources import definitions
 
-        return getattr(definitions, f"define_{kind}")(name, columns, *args)
+        return getattr(definitions, f"define_{kind}")(name, columns, *args, **knobs)
 
     return define
 
@@ -406,6 +406,187 @@ SELECT id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_rows FROM k LEFT JOIN g ON (
 )
 
 
+# What a table says of itself
+
+
+def _store(s: SparkSession):
+    from . import Store
+    from .sources.scratch import scratch
+
+    return Store(s, scratch(s), lambda: NOW)
+
+
+def _described(s: SparkSession, d: str) -> DataFrame:
+    t = _stored(s, d, desc="clicks")
+    found = next(x for x in _store(s).describe() if x["name"] == t.name)
+    return s.createDataFrame([(found["engine"], found["desc"], len(found["columns"]), found["rows"], found["tiers"])], "engine string, description string, n_columns long, n_rows long, tiers long")
+
+
+_add("store_describe", _described, f"{_E} SELECT 'log' AS engine, 'clicks' AS description, 5::BIGINT AS n_columns, count(*) AS n_rows, 1::BIGINT AS tiers FROM e")
+_add("generation_rows", lambda s, d: (lambda t: t.generation(t.generations()[1].path).select("ts", "user_id", "event_type", "value"))(_stored(s, d)), f"{_E} {_ROWS} WHERE ts > {FROM}")
+_add("distinct_values", lambda s, d: s.createDataFrame([(x,) for x in _stored(s, d).distinct("event_type")], "event_type string"), f"{_E} SELECT DISTINCT event_type FROM e")
+
+
+def _logical(s: SparkSession, d: str) -> DataFrame:
+    df, out = events(s, d), []
+    t = _store(s).create(_definer("upsert", ["user_id"], "ts")(f"logical_{uuid.uuid4().hex}", {"ts": "delta", "user_id": "raw bigint", "value": "auto double"}))
+    t.append(df.select("ts", "user_id", "value"))
+    for _ in range(2):
+        out.append((t.stats()[0]["rows"], t.logical_rows()))
+        t.compact()
+    return s.createDataFrame(out, "stored long, logical long")
+
+
+_add("logical_row_counts", _logical, f"{_E} SELECT count(*) AS stored, count(DISTINCT coalesce(user_id, -1)) AS logical FROM e UNION ALL SELECT count(DISTINCT coalesce(user_id, -1)), count(DISTINCT coalesce(user_id, -1)) FROM e")
+
+
+def _rolled_over(s: SparkSession, d: str) -> DataFrame:
+    t = _store(s).create(_definer("log")(f"rolled_{uuid.uuid4().hex}", {"ts": "delta", "value": "auto double"}, rows_per_file=250))
+    t.append(events(s, d).select("ts", "value").coalesce(1))
+    return s.createDataFrame([(len(t.tier().inputFiles()),)], "files long")
+
+
+_add("files_roll_over", _rolled_over, f"{_E} SELECT CAST(ceil(count(*) / 250.0) AS BIGINT) AS files FROM e")
+
+
+def _small_appends(s: SparkSession, d: str) -> DataFrame:
+    """Ten appends of a table that merges four generations of like size."""
+    t = _store(s).create(_definer("log")(f"small_{uuid.uuid4().hex}", {"ts": "delta", "user_id": "raw bigint", "event_type": "dictionary", "value": "auto double"}, compact_fanout=4))
+    for k in range(10):
+        t.append(events(s, d).where(F.col(SEQ) % 10 == k).coalesce(1))
+    return t.tier().select("ts", "user_id", "event_type", "value", F.lit(len(t.generations()) < 7).alias("few"))
+
+
+_add("small_appends_merged", _small_appends, f"{_E} SELECT ts, user_id, event_type, value, true AS few FROM e")
+
+
+def _reports(s: SparkSession, d: str) -> DataFrame:
+    out = []
+    for name, change in (("purge", lambda t: t.purge(TO)), ("delete_by", lambda t: t.delete_by([("event_type", "eq", "view")])), ("truncate", lambda t: t.truncate())):
+        out.append((name, change(_stored(s, d))["removed_rows"]))
+    return s.createDataFrame(out, "change string, removed long")
+
+
+_add("delete_reports", _reports, f"{_E} SELECT 'purge' AS change, count(*) FILTER (WHERE ts < {TO}) AS removed FROM e UNION ALL SELECT 'delete_by', count(*) FILTER (WHERE event_type = 'view') FROM e UNION ALL SELECT 'truncate', count(*) FROM e")
+
+
+def _clustered_later(s: SparkSession, d: str) -> DataFrame:
+    t = _stored(s, d)
+    t.set_cluster(["event_type"])
+    t.compact()
+    return t.tier().select("ts", "user_id", "event_type", "value")
+
+
+_add("cluster_set_later", _clustered_later, f"{_E} {_ROWS}")
+
+
+def _defaults(s: SparkSession, d: str) -> DataFrame:
+    """What is aggregated and kept as a dimension where a definition doesn't say."""
+    from .sources.definitions import define_collapsing, define_log, define_summing
+
+    columns = {"ts": "delta", "a": "auto", "b": "auto", "k": "raw"}
+    made = [define_log("x", columns), define_summing("x", columns, ["k"], ["b"]), define_collapsing("x", columns, ["k"], "a"), define_log("x", columns, agg={"b": "max"}, dims=["k"])]
+    return s.createDataFrame([(i, ",".join(f"{f}={fn}" for f, fn in m.rolled().items()), ",".join(m.dimensions())) for i, m in enumerate(made)], "i int, rolled string, dims string")
+
+
+_add("rollup_defaults", _defaults, "SELECT * FROM (VALUES (0, 'a=avg', 'b,k'), (1, 'b=sum', 'a,k'), (2, 'a=sum', 'b,k'), (3, 'b=max', 'k')) AS t(i, rolled, dims)")
+
+
+def _tier_facts(s: SparkSession, d: str) -> DataFrame:
+    t = _stored(s, d, retention="1h:1w, 1d:60d", agg={"value": ["max"]}, dims=["event_type"])
+    t.rollup()
+    return s.createDataFrame([(x["tier"], x["rows"], t.tier_name(x["tier"]).rpartition("/")[2], len(t.rollup_columns("value"))) for x in t.stats()], "tier long, n_rows long, name string, parts long")
+
+
+_add("tier_stats", _tier_facts, f"{_E} SELECT 0::BIGINT AS tier, count(*) AS n_rows, 'r{HOUR}' AS name, 3::BIGINT AS parts FROM e WHERE ts >= {CUT} UNION ALL SELECT 1, count(*), 'r{DAY}', 3 FROM (SELECT DISTINCT ts - ts % {DAY}, event_type FROM e WHERE ts < {CUT})")
+
+
+def _storage_by_tier(s: SparkSession, d: str) -> DataFrame:
+    """What one storage tier would rewrite, and what is left to do after it did."""
+    t, out = _stored(s, d, storage=True), []
+    before = [p["storage"] for p in t.storage_plan()]
+    for name in dict.fromkeys(before):
+        t.storage_compact_tier(name)
+        out.append((name, before.count(name), sum(p["storage"] == name for p in t.storage_plan())))
+    return s.createDataFrame(out, "id string, planned long, left_over long")
+
+
+_add(
+    "storage_plan_by_tier",
+    _storage_by_tier,
+    f"""{_E}, g AS (SELECT ts <= {FROM} AS first, max(ts) AS m FROM e GROUP BY 1),
+k AS (SELECT unnest(['hot', 'warm', 'cold', 'archive']) AS id, unnest([0, 7, 30, 365]::BIGINT[]) AS a, unnest([7, 30, 365, 1000000]::BIGINT[]) AS b)
+SELECT id, count(*) AS planned, 0::BIGINT AS left_over FROM k JOIN g ON greatest(0, {NOW} - m) >= a * {DAY} AND greatest(0, {NOW} - m) < b * {DAY} GROUP BY id""",
+)
+
+
+def _codes(s: SparkSession, d: str) -> DataFrame:
+    """The codes of what a table refuses."""
+    from . import TidemarkError, define_log
+    from .sources import manifest
+
+    store = _store(s)
+    t = store.create(define_log(f"codes_{uuid.uuid4().hex}", {"ts": "delta", "value": "auto double"}, retention="1h:1w, 1d:60d", agg={"value": "max"}))
+    late = t.manifest()
+    t.update_metadata({"owner": "ops"})
+    tries = {
+        "late writer": lambda: manifest.save(t.folder, t.name, late),
+        "row without a time": lambda: t.append([{"value": 1}]),
+        "no such table": lambda: store.open("absent"),
+        "no such tier": lambda: t.tier(7),
+        "grouped scan of tiers": lambda: t.sql(f"SELECT value, max(value) FROM {t.name} GROUP BY value"),
+        "unknown function": lambda: t.aggregate(0, 1, [("value", "median")]),
+        "no cluster key": lambda: t.cluster_compact(),
+        "not a resolution": lambda: t.rollup_one(7),
+        "too many values": lambda: t.sql(f"INSERT INTO {t.name} VALUES (1, 2, 3)"),
+        "an OR": lambda: t.sql("SELECT a FROM t WHERE a = 1 OR b = 2"),
+        "closed": lambda: (t.close(), t.tail(1)),
+    }
+    out = []
+    for name, attempt in tries.items():
+        try:
+            attempt()
+            out.append((name, "none", None))
+        except TidemarkError as e:
+            out.append((name, e.code, getattr(e, "position", None)))
+    return s.createDataFrame(out, "attempt string, code string, position int")
+
+
+_add(
+    "coded_errors",
+    _codes,
+    """SELECT * FROM (VALUES ('late writer', 'TBL_CONFLICT', NULL), ('row without a time', 'COL_DELTA_TYPE', NULL), ('no such table', 'STO_TABLE_NOT_FOUND', NULL), ('no such tier', 'TBL_JOURNAL_INDEX', NULL),
+('grouped scan of tiers', 'TBL_SCAN_AGG', NULL), ('unknown function', 'TBL_AGG_EXPR_FN', NULL), ('no cluster key', 'JRN_NO_CLUSTER', NULL), ('not a resolution', 'TBL_ROLLUP_ONE_RES', NULL),
+('too many values', 'SQL_ARITY', NULL), ('an OR', 'SQL_SYNTAX', 28), ('closed', 'TBL_NOT_OPEN', NULL)) AS t(attempt, code, position)""",
+)
+
+
+def _command_line(s: SparkSession, d: str) -> DataFrame:
+    from .__main__ import run
+    from .sources.scratch import scratch
+
+    root = ["--root", f"{scratch(s)}/cli-{uuid.uuid4().hex}"]
+    run(s, [*root, "create", "m", "--columns", "ts=delta,host=raw,value=auto", "--engine", "upsert", "--key", "host", "--version", "ts"])
+    for row in ('{"ts": 5, "host": "a", "value": 1}', '{"ts": 6, "host": "a", "value": 2}', '{"ts": 7, "host": "b", "value": 3}'):
+        run(s, [*root, "append", "m", row])
+    run(s, [*root, "compact", "m"])
+    return s.createDataFrame([(r["ts"], r["host"], r["value"], x["engine"]) for r in run(s, [*root, "query", "SELECT * FROM m"]) for x in run(s, [*root, "tables"])], "ts long, host string, value double, engine string")
+
+
+_add("command_line", _command_line, "SELECT * FROM (VALUES (6000::BIGINT, 'a', 2::DOUBLE, 'upsert'), (7000, 'b', 3, 'upsert')) AS t(ts, host, value, engine)")
+
+
+def _applied(s: SparkSession, d: str) -> DataFrame:
+    """One aggregate of plain values, outside of Spark."""
+    from .operators.aggregates import ALL, apply
+
+    values = [3.0, None, 8.5, float("nan"), -2.0, True, "x", 8.5]
+    return s.createDataFrame([(fn, float(apply(fn, values))) for fn in ALL], "fn string, v double")
+
+
+_add("apply_aggregate", _applied, "SELECT * FROM (VALUES ('min', -2::DOUBLE), ('max', 8.5), ('sum', 18), ('avg', 4.5), ('count', 4), ('last', 8.5), ('first', 3)) AS t(fn, v)")
+
+
 # The SQL dialect
 
 
@@ -429,6 +610,19 @@ _add("sql_select_order", _sql("SELECT value, user_id FROM events WHERE event_typ
 _add("sql_select_global", _sql("SELECT count(value), sum(value) AS total FROM events WHERE ts > 'now-20d' AND ts < 'now-5d'", "value_sum"), f"{_E} SELECT count(value) AS value_count, round(sum(value), 6) AS value_sum FROM e WHERE ts BETWEEN {FROM} AND {TO}")
 
 
+_add("sql_plain_column_beside_aggregate", _sql("SELECT user_id, event_type, count(value) FROM events WHERE ts <= 'now-20d' GROUP BY event_type"), f"{_E} SELECT event_type, count(value) AS value_count FROM e WHERE ts <= {FROM} GROUP BY event_type")
+_add("sql_group_without_aggregate", _sql("SELECT ts, value FROM events WHERE ts >= 'now-2d' GROUP BY event_type LIMIT 25"), f"{_E} SELECT ts, value FROM e WHERE ts >= {NOW - 2 * DAY} ORDER BY ts, _seq LIMIT 25")
+
+
+def _true_and_false(s: SparkSession, d: str) -> DataFrame:
+    t = _store(s).create(_definer("log")(f"marks_{uuid.uuid4().hex}", {"ts": "delta", "good": "raw boolean", "word": "raw"}))
+    t.sql(f"INSERT INTO {t.name} VALUES (1, TRUE, plain), (2, false, \"quoted \"\"x\"\"\"), (3, NULL, 'it''s')")
+    return t.sql(f"SELECT ts, good, word FROM {t.name} WHERE good = TRUE").unionByName(t.sql(f"SELECT ts, good, word FROM {t.name} WHERE good IS NULL")).unionByName(t.sql(f"SELECT ts, good, word FROM {t.name} WHERE good = FALSE"))
+
+
+_add("sql_true_and_false", _true_and_false, """SELECT * FROM (VALUES (1::BIGINT, true, 'plain'), (2, false, 'quoted "x"'), (3, NULL, 'it''s')) AS t(ts, good, word)""")
+
+
 def _inserted(s: SparkSession, d: str) -> DataFrame:
     t = _stored(s, d)
     t.sql("INSERT INTO events (ts, user_id, event_type, value) VALUES (1, 7, 'made', 1.5), (2, 8, 'made', -2), (3, NULL, 'it''s', 4e2)")
