@@ -254,6 +254,9 @@ def test_pairs_meet_at_any_number_of_vectors(count):
     met = lambda k: (embedding_dedup.chunk_keys(x, mean, columns, tables) == embedding_dedup.chunk_keys(y, mean, columns, tables))[:, :k].any(1).mean()
     assert width == math.ceil(math.log2(count / 2)) and met(tables) >= 0.99
     assert count < 10**6 or met(18) < 0.95
+    code = lambda v: (v - mean) @ columns >= 0
+    apart = (code(x) != code(y)).mean(1)
+    assert apart.max() < embedding_dedup.RADIUS and ((code(x) != code(x[::-1])).mean(1) > embedding_dedup.RADIUS).mean() > 0.9
 
 
 def nearest(rows, k):

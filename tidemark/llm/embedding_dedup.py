@@ -4,8 +4,9 @@ Vectors are centred, projected on their principal components and rotated so that
 the signs of the components lose as little as possible; the signs are the code.
 Several rotations, from different starts, make a longer code. The code is cut
 into chunks, and each chunk is the key of a hash table: near vectors differ in
-few bits and so agree in whole chunks. All pairs in a bucket are compared by the
-cosine of the original vectors.
+few bits and so agree in whole chunks. Of a small bucket only those go on whose
+whole codes lie within a Hamming distance of each other; then all pairs in a
+bucket are compared by the cosine of the original vectors.
 
 A pair that meets in several tables counts in the first one only, so links are
 counted without being listed. A large bucket is dealt out in pairs of blocks.
@@ -35,6 +36,10 @@ SAMPLE = 10_000
 ROUNDS = 30
 #: A bucket of more vectors is cut into blocks of about so many.
 BLOCK = 512
+#: In buckets of so many vectors at most codes are compared first.
+SMALL = 32
+#: The share of bits in which codes may differ there. A pair at cosine 0.95 differs in a tenth of them, unrelated ones in half.
+RADIUS = 0.4
 
 
 def rotations(x: np.ndarray, bits: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -67,10 +72,40 @@ def code_shape(count: int, cosine: float, tables: int = TABLES) -> tuple[int, in
 
 def chunk_keys(x: np.ndarray, mean: np.ndarray, columns: np.ndarray, tables: int) -> np.ndarray:
     """The code of each row in ``tables`` chunks, as numbers."""
-    bits = ((x - mean) @ columns >= 0).reshape(len(x), tables, -1)
+    return _keys((x - mean) @ columns >= 0, tables)
+
+
+def _keys(bits: np.ndarray, tables: int) -> np.ndarray:
+    bits = bits.reshape(len(bits), tables, -1)
     return bits @ (1 << np.arange(bits.shape[2], dtype=np.int64))
 
 
+def _packed(column: pa.Array) -> np.ndarray:
+    """A column of codes (binary, all of one length) as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _unpacked(column: pa.Array, tables: int, width: int) -> np.ndarray:
+    return _keys(np.unpackbits(_packed(column), axis=1)[:, : tables * width].astype(bool), tables)
+
+
+def _near_codes(radius: int):
+    """Small buckets in order (id, code, table, bucket) to those of their rows that have a code within ``radius`` bits in the bucket."""
+
+    def work(rows: pa.Table):
+        code = _packed(rows.column("code").combine_chunks())
+        table, bucket = np.asarray(rows.column("table")), np.asarray(rows.column("bucket"))
+        group = np.concatenate([[0], np.cumsum((table[1:] != table[:-1]) | (bucket[1:] != bucket[:-1]))])
+        near = np.zeros(len(group), bool)
+        for step in range(1, int(np.bincount(group).max())):
+            i = np.flatnonzero(group[:-step] == group[step:])
+            i = i[np.bitwise_count(code[i] ^ code[i + step]).sum(1, dtype=np.int64) <= radius]
+            near[i] = near[i + step] = True
+        yield from rows.select(["id", "table", "bucket"]).filter(pa.array(near)).to_batches()
+
+    return _by_group(work, ("table", "bucket"))
+
+
 def _first_meeting(keys: np.ndarray, i: np.ndarray, j: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Whether pairs of rows have no equal key in a table before theirs."""
     before = np.arange(keys.shape[1])[None, :] < table[:, None]
@@ -107,13 +142,13 @@ def _pairs(group: np.ndarray, block: np.ndarray, gi: np.ndarray, gj: np.ndarray,
     return i[first], j[first]
 
 
-def _links(cosine: float):
+def _links(cosine: float, tables: int, width: int):
     """Groups of rows in order to (id, n, to): how many vectors an id links with here, and an id that it hangs together with."""
 
     def work(rows: pa.Table):
-        t = [rows.column(c).combine_chunks() for c in ("id", "n", "keys", "vector", "table", "block", "gi", "gj", "bucket")]
+        t = [rows.column(c).combine_chunks() for c in ("id", "n", "code", "vector", "table", "block", "gi", "gj", "bucket")]
         ids, n, table, block, gi, gj, bucket = (np.asarray(t[k]) for k in (0, 1, 4, 5, 6, 7, 8))
-        keys, unit = matrix(t[2], np.int64), matrix(t[3])
+        keys, unit = _unpacked(t[2], tables, width), matrix(t[3])
         unit = unit / np.sqrt((unit * unit).sum(1, keepdims=True))
         change = (bucket[1:] != bucket[:-1]) | (table[1:] != table[:-1]) | (gi[1:] != gi[:-1]) | (gj[1:] != gj[:-1])
         group = np.concatenate([[0], np.cumsum(change)])
@@ -135,6 +170,12 @@ def _links(cosine: float):
             root = new
         yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(count), pa.array(who[root])], ["id", "n", "to"])
 
+    return _by_group(work, ("table", "bucket", "gi", "gj"))
+
+
+def _by_group(work, names: tuple[str, ...]):
+    """``work`` on some whole groups of rows at a time, of rows that lie in the order of ``names``."""
+
     def run(batches):
         held: list[pa.Table] = []
         size = 0
@@ -146,7 +187,7 @@ def _links(cosine: float):
             if size < 8192:
                 continue
             whole = pa.concat_tables(held)
-            mark = [np.asarray(whole.column(c)) for c in ("table", "bucket", "gi", "gj")]
+            mark = [np.asarray(whole.column(c)) for c in names]
             last = np.flatnonzero(np.logical_or.reduce([m[1:] != m[:-1] for m in mark]))
             cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on in the next batch
             if cut:
@@ -206,23 +247,29 @@ def _of_one_length(same: DataFrame, dim: int, count: int, cosine: float, tables:
 
     def code(batches):
         for batch in batches:
-            x = matrix(batch.column(2))
-            keys = chunk_keys(x / np.sqrt((x * x).sum(1, keepdims=True)), mean, columns, tables) if len(x) else np.zeros((0, tables), np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists(keys, pa.int64())], ["id", "n", "vector", "keys"])
-
-    coded = space.keep(same.select("id", "n", "vector").mapInArrow(code, "id long, n long, vector array<float>, keys array<long>"), f"coded-{dim}")
-    entries = coded.select("id", F.posexplode("keys").alias("table", "bucket"))
+            if batch.num_rows:
+                x = matrix(batch.column(2))
+                bits = (x / np.sqrt((x * x).sum(1, keepdims=True)) - mean) @ columns >= 0
+                packed = pa.array([r.tobytes() for r in np.packbits(bits, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, packed, lists(_keys(bits, tables), pa.int64())], ["id", "n", "vector", "code", "keys"])
+
+    coded = space.keep(same.select("id", "n", "vector").mapInArrow(code, "id long, n long, vector array<float>, code binary, keys array<long>"), f"coded-{dim}")
+    entries = coded.select("id", "code", F.posexplode("keys").alias("table", "bucket"))
     sizes = space.keep(entries.groupBy("table", "bucket").agg(F.count("*").alias("size")).where("size > 1"), f"sizes-{dim}")
     # Where an id goes: its buckets that aren't its own, and in a large one to each pair of blocks with its own block.
+    all_met, whole = entries.join(sizes, ["table", "bucket"]), ["table", "bucket"]
+    few = all_met.where(F.col("size") <= SMALL).select("id", "code", "table", "bucket").repartition(shuffle_width(spark), *whole).sortWithinPartitions(*whole)
+    few = few.mapInArrow(_near_codes(int(RADIUS * width * tables)), "id long, table int, bucket long").withColumn("size", F.lit(1).cast("long"))
+    live = few.unionByName(all_met.where(F.col("size") > SMALL).select("id", "table", "bucket", "size"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("id", "table"), F.col("blocks")).cast("int")
-    met = entries.join(sizes, ["table", "bucket"]).withColumn("blocks", blocks).withColumn("block", mine)
+    met = live.withColumn("blocks", blocks).withColumn("block", mine)
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("id", "table", "bucket", "block", F.least("block", "other").alias("gi"), F.greatest("block", "other").alias("gj"))
-    met = met.join(coded, "id").select("id", "n", "keys", "vector", "table", "bucket", "block", "gi", "gj")
+    met = met.join(coded.drop("keys"), "id").select("id", "n", "code", "vector", "table", "bucket", "block", "gi", "gj")
     by = ["table", "bucket", "gi", "gj"]
     dealt = met.repartition(shuffle_width(spark), *by).sortWithinPartitions(*by)
-    return dealt.mapInArrow(_links(cosine), "id long, n long, to long").groupBy("id", "to").agg(F.sum("n").alias("n")).select("id", "n", "to")
+    return dealt.mapInArrow(_links(cosine, tables, width), "id long, n long, to long").groupBy("id", "to").agg(F.sum("n").alias("n")).select("id", "n", "to")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
