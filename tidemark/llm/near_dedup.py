@@ -40,7 +40,7 @@ SIMILARITY = 0.8
 SKETCHES = 12
 SAMPLED = 3
 #: A bucket of more texts, or of more shingles, is cut into blocks of about so many.
-BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 _SLICE = 2_000_000
 
 
@@ -238,18 +238,13 @@ def in_common(seqs: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
     order = np.argsort(name, kind="stable")
     name, row = name[order], row[order]
     rare = often[name] <= RARE
-    out = np.zeros(n * n, np.float32)
-    pairs = []
+    out = np.zeros((n, n), np.float32)
     few, own = name[rare], row[rare]
     for step in range(1, min(RARE, len(few))):
         same = np.flatnonzero(few[step:] == few[:-step])
         if not len(same):
             break
-        pairs.append(own[same] * n + own[same + step])
-    if pairs:
-        at, times = np.unique(np.concatenate(pairs), return_counts=True)
-        out[at] = times
-    out = out.reshape(n, n)
+        out += np.bincount(own[same] * n + own[same + step], minlength=n * n).reshape(n, n)
     out = (out + out.T)[np.ix_(left, right)]
     name, row = np.unique(name[~rare], return_inverse=True)[1], row[~rare]
     cuts = np.searchsorted(name, np.arange(0, (int(name[-1]) if len(name) else -1) + 1 + COLUMNS, COLUMNS))
