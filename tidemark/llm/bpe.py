@@ -216,7 +216,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 #: Texts are taken in batches of about so many bytes, to bound a worker's memory.
-BATCH_BYTES = 12_000_000
+BATCH_BYTES = 6_000_000
 
 
 def text_batches(batches, column: int, size: int = BATCH_BYTES):

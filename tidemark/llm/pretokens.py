@@ -63,8 +63,10 @@ def expand(flat: np.ndarray, count: np.ndarray, at: np.ndarray) -> np.ndarray:
     upto = np.cumsum(own)
     if not len(upto) or not upto[-1]:
         return flat[:0]
-    shift = (np.cumsum(count) - count)[at] - upto + own
-    return flat[np.arange(upto[-1]) + np.repeat(shift, own)]
+    kind = np.int32 if max(len(flat), upto[-1]) < 1 << 31 else np.int64
+    place = np.repeat(((np.cumsum(count) - count)[at] - upto + own).astype(kind), own)
+    place += np.arange(upto[-1], dtype=kind)
+    return flat[place]
 
 
 def sums(values: np.ndarray, count: np.ndarray) -> np.ndarray:
