@@ -65,13 +65,36 @@ class Merges:
         return np.where(self.keys[at] == key, self.merged[at], -1).astype(np.int32)
 
     def one(self, piece: bytes) -> list[int]:
-        """A single piece, merge by merge; for the rare ones that replay can't order (see ``replay``)."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while True:
-            best = min(((self.ranks.get(parts[i] + parts[i + 1], self.wide), i) for i in range(len(parts) - 1)), default=(self.wide, 0))
-            if best[0] == self.wide:
-                return [self.ranks[x] for x in parts]
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        """A single piece, merge by merge; for the rare ones that replay can't order (see ``replay``).
+
+        Pairs wait in a heap by rank and place, so the lowest and leftmost is next; a merge enters the two pairs that it touches.
+        """
+        n = len(piece)
+        token = [piece[i : i + 1] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[int, int, bytes, bytes]] = []
+
+        def enter(i: int) -> None:
+            if i >= 0 and after[i] < n:
+                left, right = token[i], token[after[i]]
+                rank = self.ranks.get(left + right)
+                if rank is not None:
+                    heapq.heappush(heap, (rank, i, left, right))
+
+        for i in range(n):
+            enter(i)
+        while heap:
+            _, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if token[i] != left or j >= n or token[j] != right:
+                continue  # one of the two was merged meanwhile
+            token[i], token[j] = left + right, b""
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            enter(before[i])
+            enter(i)
+        return [self.ranks[x] for x in token if x]
 
     def replay(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces one after the other, and how many each has."""
