@@ -28,7 +28,7 @@ _LETTER = regex.compile(r"\p{L}")
 
 #: Bounds of the training sample: labelled rows for each language (about), of all languages together (about; one of each at least), windows of each row.
 ROWS_PER_LANGUAGE = 600
-SAMPLE_ROWS = 200_000
+SAMPLE_ROWS = 60_000
 WINDOWS_PER_ROW = 4
 
 
